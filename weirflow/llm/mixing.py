@@ -139,12 +139,19 @@ def mix_sources(docs: DataFrame, key="doc_id", text="text", source="source", wei
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns.
 
-    Rows of equal id and equal text are alike, so their copies are summed
-    before the ids are joined.
+    Rows of equal id are told apart by size; those of equal size too take the
+    copies of one another, which are the same rows or as good. Rows that the
+    mix takes no copy of are left out.
     """
     key = how.get("key", "doc_id")
-    taken = mix_sources(docs, **how).groupBy(F.col(key).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("__of"))
+    asked = mix_sources(docs, **how).filter("copies > 0").groupBy(F.col(key).alias("__id"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__of"))
+    asked = written(asked, "mix-copies")
     size = word_count(F.col(how.get("text", "text")).cast("string"))
-    mine = docs.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(size)))
-    joined = mine.join(taken, F.col(key).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.element_at("__of", F.col("__n"))["copies"].cast("int")))).select(docs.columns)
+    sized = docs.withColumn("__words", size)
+    joined = sized.join(asked, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    # Only ids that repeat have more than one entry; their rows are numbered.
+    alone = joined.filter(F.size("__of") == 1).withColumn("__n", F.lit(1))
+    again = joined.filter(F.size("__of") > 1).withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__size").orderBy(F.lit(1))))
+    rows = alone.unionByName(again).withColumn("__take", F.try_element_at("__of", F.col("__n")))
+    copies = F.when(F.col("__take").isNotNull(), F.array_repeat(F.lit(1), F.col("__take").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("__copy", F.explode(copies)).select([F.col(f"`{c}`") for c in docs.columns])
