@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("weekly",)
+
+
+def _all() -> dict:
+    found = {}
+    for name in MODULES:
+        found |= import_module(f"weirflow.plans.{name}").QUERIES
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
