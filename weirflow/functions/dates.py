@@ -38,7 +38,7 @@ def is_friday(day: Column) -> Column:
 
 
 def iso_week(c: Column) -> Column:
-    return F.format_string("%d-W%02d", F.extract(F.lit("yearofweek"), c).cast("int"), F.weekofyear(c))
+    return F.when(c.isNotNull(), F.format_string("%d-W%02d", F.extract(F.lit("yearofweek"), c).cast("int"), F.weekofyear(c)))
 
 
 def active_region(day: Column, groups: int) -> Column:

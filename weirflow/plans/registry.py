@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("weekly", "texts")
+MODULES = ("weekly", "texts", "markets", "increments")
 
 
 def _all() -> dict:
