@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOLATILITY_ROWS = 10
-BY_DATE = Window.partitionBy("asset_id").orderBy("observation_date")
+
+
+def _by_date():
+    return Window.partitionBy("asset_id").orderBy("observation_date")
 
 
 def changes(series: DataFrame) -> DataFrame:
@@ -21,13 +24,13 @@ def changes(series: DataFrame) -> DataFrame:
     per = Window.partitionBy("asset_id")
     kind = F.when(F.count("*").over(per) < 3, "none").when(F.min("value").over(per) > 0, "log_return").otherwise("first_difference")
     out = known.withColumn("transform", kind)
-    change = F.when(F.col("transform") == "log_return", F.ln("value") - F.lag(F.ln(F.greatest("value", F.lit(1e-300)))).over(BY_DATE)).when(F.col("transform") == "first_difference", F.col("value") - F.lag("value").over(BY_DATE))
+    change = F.when(F.col("transform") == "log_return", F.ln("value") - F.lag(F.ln(F.greatest("value", F.lit(1e-300)))).over(_by_date())).when(F.col("transform") == "first_difference", F.col("value") - F.lag("value").over(_by_date()))
     return out.withColumn("change", change)
 
 
 def rolling_volatility(series: DataFrame, rows: int = VOLATILITY_ROWS, periods: int = 252) -> DataFrame:
     """Annualised deviation of the last ``rows`` changes, once there are as many."""
-    last = BY_DATE.rowsBetween(-(rows - 1), 0)
+    last = _by_date().rowsBetween(-(rows - 1), 0)
     out = changes(series).filter(F.col("change").isNotNull())
     return out.select("observation_date", "asset_id", F.when(F.count("change").over(last) == rows, F.stddev_samp("change").over(last) * (periods**0.5)).alias("volatility"))
 
@@ -96,7 +99,7 @@ def observation_counts(series: DataFrame, start: str, assets: list[str]) -> Data
 
 def event_windows(series: DataFrame, events: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
     """Rows around each event by position: ``before`` ahead of the first observation on or after its date, and ``after`` from it."""
-    ranked = series.filter(F.col("value").isNotNull()).withColumn("pos", F.row_number().over(BY_DATE))
+    ranked = series.filter(F.col("value").isNotNull()).withColumn("pos", F.row_number().over(_by_date()))
     e = F.broadcast(events.select("event_id", "event_date"))
     at = ranked.join(e, F.col("observation_date") >= F.col("event_date")).groupBy("event_id", "asset_id").agg(F.min("pos").alias("p0"))
     near = ranked.join(F.broadcast(at), "asset_id").filter((F.col("pos") >= F.col("p0") - before) & (F.col("pos") < F.col("p0") + after))
