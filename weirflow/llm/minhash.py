@@ -9,11 +9,12 @@
    smallest, become candidates: a bucket of n nodes has n - 1.
 4. Candidates are confirmed on the full sets. A hub's nodes are dealt in chunks,
    so no task holds a hub's whole group.
-5. Buckets whose nodes are not all in one component by then get the exact way for
-   the rest: pairs of two components, neither of which is the hub, are
-   confirmed too, unless sizes or the triangle inequality of Jaccard distances
-   (both distances to the hub are known) rule them out. No bucket or partner
-   count is capped.
+5. Nodes of buckets that are not all in one component by then get the exact way
+   for the rest. Two sets of similarity 0.75 share one of the rarest quarter of
+   either's shingles; nodes of different components that do, and whose sizes
+   allow it, are confirmed too. What thousands of texts have in common (a line,
+   a passage) is not rare, so it makes no pairs. No bucket or partner count is
+   capped.
 
 With 48 bands of 4 bins a pair of similarity 0.75 shares no bucket with a chance of
 1e-8, and less above it.
@@ -41,6 +42,8 @@ BANDS, ROWS = 48, 4
 BINS = BANDS * ROWS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Up to so many nodes with candidates are broadcast to find their texts: 16 bytes each.
+BROADCAST_NODES = 1_000_000
 #: Members of a hub that are confirmed together.
 CHUNK = 64
 
@@ -130,6 +133,8 @@ def _confirm(batches):
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One whole text for each of ``nodes`` (node, id)."""
+    nodes = written(nodes, "involved")
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     found = docs.join(nodes, "id").select("node", "text").mapInArrow(_check_node, "node long, text string")
     return written(found.dropDuplicates(["node"]), "node-texts")
 
@@ -144,6 +149,69 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_confirm, _FOUND), "confirmed")
 
 
+def _spread(batches):
+    """The shingles of each node's text."""
+    for batch in batches:
+        data, offs = kernel.as_bytes(batch.column(1))
+        sets = [s.view(np.int64) for _, _, raw, at in kernel.blocks(data, offs) for s in kernel.shingle_sets(raw, at, WIDTH)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "shingles"])
+
+
+_ENTRY = "node long, part long, n long, most long, groups array<int>, shingle long"
+#: A set's shingles are counted in so many groups by hash; the smaller counts of two sets bound their intersection.
+GROUPS = 32
+
+
+def _look_up(batches):
+    """The index entries of each set: its rare prefix without shingles that only its own part has."""
+    for batch in batches:
+        out: list[tuple] = []
+        for node, part, n, k, s in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            k, s = np.array(k, np.int64), np.array(s, np.int64)
+            shared = k > 0
+            most = int(shared.sum())
+            if most * 100 < n * PERCENT:
+                continue
+            groups = np.bincount(s[shared] % GROUPS, minlength=GROUPS).tolist()
+            prefix = n - -(-n * PERCENT // 100) + 1
+            out += [(node, part, n, most, groups, x) for x in s[:prefix][shared[:prefix]].tolist()]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["node", "part", "n", "most", "groups", "shingle"])
+
+
+def rare_index(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, part, n, most, groups, shingle): what each set is looked up by, so that no pair of different parts that is similar is lost.
+
+    Shingles are ordered from rare to frequent among these nodes, and a set of n
+    is looked up by its first n - ceil(0.75 n) + 1; ``most``, what a set shares
+    with other parts at all, bounds its intersections, and ``groups``, the same by hash group, does so closer.
+    """
+    placed = sets.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    rows = placed.select("node", "part", "n", F.explode("shingles").alias("shingle"))
+    # A shingle of one part alone helps no pair of two parts; such shingles are the rarest of all.
+    seen = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("part").alias("a"), F.max("part").alias("b")).select("shingle", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("k")).alias("k"))
+    ranked = rows.join(seen, "shingle").groupBy("node", "part", "n").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("s"))
+    return written(ranked.select("node", "part", "n", F.col("s.k").alias("k"), F.col("s.shingle").alias("s")).mapInArrow(_look_up, _ENTRY), "rare")
+
+
+def central_stars(index: DataFrame) -> DataFrame:
+    """(hub, node): of each entry of the index the node that shares most, with all others."""
+    hubs = index.groupBy("shingle").agg(F.max(F.struct("most", "node")).alias("h")).select("shingle", F.col("h.node").alias("hub"))
+    return index.join(hubs, "shingle").filter("hub <> node").select("hub", "node").distinct()
+
+
+def rare_pairs(index: DataFrame) -> DataFrame:
+    """(hub, node): every pair of the index that sizes and shared shingles allow."""
+    x, y = index, index.toDF(*[f"{c}_" for c in index.columns])
+    # Two sets of sizes n and m are similar with an intersection of 0.75 / 1.75 * (n + m) at least.
+    enough = F.least("most", "most_") * (100 + PERCENT) >= (F.col("n") + F.col("n_")) * PERCENT
+    sizes = F.least("n", "n_") * 100 >= F.greatest("n", "n_") * PERCENT
+    meet = F.aggregate(F.zip_with("groups", "groups_", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, v: acc + v)
+    enough = enough & (meet * (100 + PERCENT) >= (F.col("n") + F.col("n_")) * PERCENT)
+    pairs = x.join(y, (F.col("shingle") == F.col("shingle_")) & (F.col("node") < F.col("node_")) & (F.col("part") != F.col("part_")) & sizes & enough)
+    return pairs.select(F.col("node").alias("hub"), F.col("node_").alias("node")).distinct()
+
+
 def _links(found: DataFrame) -> DataFrame:
     return found.filter(F.col("both") * 100 >= F.col("either") * PERCENT).select(F.col("hub").alias("u"), F.col("node").alias("v"))
 
@@ -167,15 +235,17 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     # The rest: nodes of a bucket that the stars have left in different components.
     placed = shared.filter("size > 2").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
     open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
-    far = found.select("hub", "node", (1 - F.col("both") / F.col("either")).alias("far"))
-    open_rows = written(placed.filter("node <> hub").join(open_buckets, "bucket").join(far, ["hub", "node"]).join(nodes.select("node", "n"), "node").select("bucket", "node", "part", "far", "n"), "open")
-    x, y = open_rows, open_rows.toDF(*[f"{c}_" for c in open_rows.columns])
-    near = (F.abs(F.col("far") - F.col("far_")) <= 1 - PERCENT / 100 + 1e-9) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * PERCENT)
-    rest = x.join(y, (F.col("bucket") == F.col("bucket_")) & (F.col("node") < F.col("node_")) & (F.col("part") != F.col("part_")) & near).select(F.col("node").alias("hub"), F.col("node_").alias("node")).distinct()
-    rest = written(rest.join(stars, ["hub", "node"], "left_anti"), "rest")
-    if rest.count():
-        more = _links(confirm(rest, texts))
-        parts = components(links.unionByName(more))
+    open_nodes = placed.join(open_buckets, "bucket", "left_semi").select("node").distinct()
+    sets = written(open_nodes.join(texts, "node").select("node", "text").mapInArrow(_spread, "node long, n long, shingles array<long>"), "open-sets")
+    tried = stars.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node"))
+    for propose in (central_stars, rare_pairs):
+        found = propose(rare_index(sets, parts)).select(F.greatest("hub", "node").alias("x"), F.least("hub", "node").alias("y"))
+        new = written(found.distinct().join(tried, (F.col("x") == F.col("hub")) & (F.col("y") == F.col("node")), "left_anti").toDF("hub", "node"), "rest")
+        more = written(_links(confirm(new, texts)), "links")
+        tried = tried.unionByName(new)
+        if more.count():
+            links = links.unionByName(more)
+            parts = components(links)
 
     root = nodes.select("node", "id").join(parts, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     led = root.groupBy("root").agg(F.min("id").alias("component_id"))
