@@ -8,7 +8,8 @@ of the text. An item leaks into a text that has 75 % of its windows, so that que
 other numbers and names are caught as well as verbatim ones.
 
 Names are capitalised words inside a sentence, runs of them one name; units are
-words of a fixed list after a number. The benchmark's windows are the build side:
+words of a fixed list after a number. A window of placeholders alone would match
+anything, so windows with fewer than two literal words match word for word. The benchmark's windows are the build side:
 they go to the executors in blocks of ``BLOCK_WINDOWS`` at most, one pass over
 the texts for each block, so their size is bounded whatever the benchmark.
 
@@ -32,6 +33,8 @@ from .store import small_batches
 
 WIDTH = 5
 LEAST = 0.75
+#: A window of fewer literal words than this says nothing as a template and must match word for word.
+LITERALS = 2
 #: Windows of the benchmark that executors hold at once: 24 bytes each, and 16 a token.
 BLOCK_WINDOWS = 1 << 20
 
@@ -87,6 +90,16 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return token, kind, value, text
 
 
+def window_keys(token: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The hash of each window: of its template, or of its very words where under ``LITERALS`` of them are literal."""
+    runs = kernel.window_hash(token, width)
+    if not len(runs):
+        return runs
+    literal = _sums(kind == LITERAL)
+    plain = literal[width:] - literal[:-width] < LITERALS
+    return np.where(plain, kernel.mix(kernel.window_hash(value, width) ^ kernel.MULTIPLIERS[59]), runs)
+
+
 class Benchmark:
     """Sorted windows of a block of items, with the items' tokens."""
 
@@ -97,7 +110,7 @@ class Benchmark:
         token, self.kind, self.value, text = templates(np.frombuffer(b"".join(raw), np.uint8), offs)
         bounds = np.searchsorted(text, np.arange(len(items) + 1))
         self.bounds = bounds
-        runs = kernel.window_hash(token, WIDTH)
+        runs = window_keys(token, self.kind, self.value)
         inside = text[: len(runs)] == text[WIDTH - 1 :] if len(runs) else np.zeros(0, bool)
         at = np.flatnonzero(inside)
         order = np.argsort(runs[at], kind="stable")
@@ -109,7 +122,8 @@ class Benchmark:
         for k in range(len(items)):
             n = bounds[k + 1] - bounds[k]
             if 0 < n < WIDTH:
-                self.short[int(kernel.window_hash(token[bounds[k] : bounds[k + 1]], int(n))[0])].append(k)
+                a, b = bounds[k], bounds[k + 1]
+                self.short[int(window_keys(token[a:b], self.kind[a:b], self.value[a:b], int(n))[0])].append(k)
 
     def consistent(self, hits: list[tuple[int, int]], kind: np.ndarray, value: np.ndarray) -> set[int]:
         """Of one alignment's hits (text token, item token) those whose placeholders agree with the ones before."""
@@ -132,7 +146,7 @@ class Benchmark:
         """For each text of a block the items that leak into it, with the share of their windows."""
         token, kind, value, text = templates(data, offs)
         out: dict[int, dict[int, float]] = defaultdict(dict)
-        runs = kernel.window_hash(token, WIDTH)
+        runs = window_keys(token, kind, value)
         if len(runs) and len(self.hashes):
             place = np.minimum(np.searchsorted(self.hashes, runs), len(self.hashes) - 1)
             hit = np.flatnonzero((self.hashes[place] == runs) & (text[: len(runs)] == text[WIDTH - 1 :]))
@@ -158,7 +172,7 @@ class Benchmark:
             bounds = np.searchsorted(text, np.arange(len(offs)))
             for t in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < WIDTH)):
                 a, b = bounds[t], bounds[t + 1]
-                for i in self.short.get(int(kernel.window_hash(token[a:b], int(b - a))[0]), ()):
+                for i in self.short.get(int(window_keys(token[a:b], kind[a:b], value[a:b], int(b - a))[0]), ()):
                     out[int(t)][i] = 1.0
         return out
 
