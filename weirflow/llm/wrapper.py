@@ -195,7 +195,8 @@ def _blocks(node: Element, template, pages: int, inside: bool, out: list[str]) -
                     flush()
                 continue
             below = t[2].get(c.label) if t is not None else None
-            if not inside and is_template(c, below, pages):
+            # An inline element amid its parent's text is part of that text.
+            if not inside and is_template(c, below, pages) and (c.tag in BLOCK or not _text_of(x)):
                 if c.tag in BLOCK:
                     flush()
                 continue
