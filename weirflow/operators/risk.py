@@ -32,8 +32,9 @@ def comment_risk(comments: DataFrame) -> DataFrame:
     duplicate = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.coalesce("__same", F.lit(1)) - 1) / 4))
     burst = F.when(timed, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (near - 1) / BURST_ROWS))).otherwise(0.0)
     out = joined.withColumns({"duplicate_score": duplicate, "burst_score": burst, "link_score": link_density(F.col("text"))})
+    # Rounded to 10 places first: sums that differ in their last bit only must not part at a tie.
     score = 0.5 * F.col("duplicate_score") + 0.35 * F.col("burst_score") + 0.15 * F.col("link_score")
-    return out.withColumn("automation_risk_score", F.round(F.least(F.lit(1.0), score), 4)).drop("__batch", "__key", "__same")
+    return out.withColumn("automation_risk_score", F.round(F.round(F.least(F.lit(1.0), score), 10), 4)).drop("__batch", "__key", "__same")
 
 
 def user_features(comments: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def user_features(comments: DataFrame) -> DataFrame:
     )
     c = F.col
     score = 0.35 * c("exact_duplicate_ratio") + 0.25 * c("rapid_activity_ratio_60s") + 0.15 * c("url_interaction_ratio") + 0.10 * c("hour_coverage_ratio") + 0.15 * F.coalesce("mean_comment_level_automation_risk", F.lit(0.0))
-    return users.withColumn("automation_risk_score_user", F.round(F.least(F.lit(1.0), score), 4)).withColumn("is_flagged_bot_suspect", F.col("automation_risk_score_user") >= FLAG)
+    return users.withColumn("automation_risk_score_user", F.round(F.round(F.least(F.lit(1.0), score), 10), 4)).withColumn("is_flagged_bot_suspect", F.col("automation_risk_score_user") >= FLAG)
 
 
 def response_times(comments: DataFrame) -> DataFrame:

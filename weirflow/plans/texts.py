@@ -186,7 +186,7 @@ _KEY = r"regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '\s+',
 RISK_CTE = f"""WITH {COMMENTS_SQL}, k AS (SELECT *, {_KEY.format(c='text')} AS k FROM comments),
 s AS (SELECT *, CASE WHEN k IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY batch, k) END AS same, list(t) OVER (PARTITION BY batch, author ORDER BY t, content_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM k),
 r AS (SELECT *, least(1.0e0, (same - 1) / 4.0e0) AS duplicate_score, CASE WHEN author IS NULL THEN 0.0e0 ELSE (len(list_filter(near, lambda x: t - x <= 60)) - 1) / 3.0e0 END AS burst_score, least(1.0e0, (len(regexp_extract_all(coalesce(text, ''), 'https?://\\S+')) + len(regexp_extract_all(coalesce(text, ''), '#\\w+'))) / 3.0e0) AS link_score FROM s),
-scored AS (SELECT *, round(least(1.0e0, 0.5e0 * duplicate_score + 0.35e0 * burst_score + 0.15e0 * link_score), 4) AS automation_risk_score FROM r)"""
+scored AS (SELECT *, round(round(least(1.0e0, 0.5e0 * duplicate_score + 0.35e0 * burst_score + 0.15e0 * link_score), 10), 4) AS automation_risk_score FROM r)"""
 RISK_SQL = f"{RISK_CTE} SELECT content_id, round(duplicate_score, 6) AS duplicate_score, round(burst_score, 6) AS burst_score, round(link_score, 6) AS link_score, automation_risk_score FROM scored"
 
 
@@ -211,7 +211,7 @@ USERS_CTE = f"""{RISK_CTE}, u0 AS (SELECT *, t - lag(t) OVER (PARTITION BY autho
 u1 AS (SELECT author, count(*) AS total_interactions, count(DISTINCT post_id) AS posts_participated, count(*) FILTER (WHERE is_reply) AS replies, round(avg(is_reply::INT), 4) AS reply_ratio, round(avg({_WORDS}), 2) AS mean_word_count, quantile_cont({_WORDS}, 0.5)::DOUBLE AS median_word_count, round(avg(likes), 2) AS mean_like_count,
  round(avg(coalesce(regexp_matches(text, 'https?://\\S+'), false)::INT), 4) AS url_interaction_ratio, round(count(*) FILTER (WHERE mine > 1) * 1.0e0 / count(k), 4) AS exact_duplicate_ratio, round(count(DISTINCT k) * 1.0e0 / count(k), 4) AS unique_text_ratio, quantile_cont(gap, 0.5)::DOUBLE AS median_interarrival_seconds,
  round(coalesce(count(*) FILTER (WHERE gap <= 60) * 1.0e0 / nullif(count(gap), 0), 0), 4) AS rapid_activity_ratio_60s, count(DISTINCT (t % 86400) // 3600) AS active_utc_hours, round(count(DISTINCT (t % 86400) // 3600) / 24.0e0, 4) AS hour_coverage_ratio, round(avg(automation_risk_score), 4) AS mean_comment_level_automation_risk FROM u0 GROUP BY author),
-users AS (SELECT *, round(least(1.0e0, 0.35e0 * exact_duplicate_ratio + 0.25e0 * rapid_activity_ratio_60s + 0.15e0 * url_interaction_ratio + 0.10e0 * hour_coverage_ratio + 0.15e0 * mean_comment_level_automation_risk), 4) AS automation_risk_score_user FROM u1)"""
+users AS (SELECT *, round(round(least(1.0e0, 0.35e0 * exact_duplicate_ratio + 0.25e0 * rapid_activity_ratio_60s + 0.15e0 * url_interaction_ratio + 0.10e0 * hour_coverage_ratio + 0.15e0 * mean_comment_level_automation_risk), 10), 4) AS automation_risk_score_user FROM u1)"""
 USERS_SQL = f"{USERS_CTE} SELECT *, automation_risk_score_user >= 0.7 AS is_flagged_bot_suspect FROM users"
 
 
