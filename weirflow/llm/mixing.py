@@ -149,9 +149,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     size = word_count(F.col(how.get("text", "text")).cast("string"))
     sized = docs.withColumn("__words", size)
     joined = sized.join(asked, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    # Only ids that repeat have more than one entry; their rows are numbered.
-    alone = joined.filter(F.size("__of") == 1).withColumn("__n", F.lit(1))
-    again = joined.filter(F.size("__of") > 1).withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__size").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))))
-    rows = alone.unionByName(again).withColumn("__take", F.try_element_at("__of", F.col("__n")))
+    # Only ids that repeat have more than one entry; their rows are numbered. Without any, texts are joined once and not sorted.
+    if asked.filter(F.size("__of") > 1).limit(1).count():
+        rows = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__size").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))))
+    else:
+        rows = joined.withColumn("__n", F.lit(1))
+    rows = rows.withColumn("__take", F.try_element_at("__of", F.col("__n")))
     copies = F.when(F.col("__take").isNotNull(), F.array_repeat(F.lit(1), F.col("__take").cast("int"))).otherwise(F.array().cast("array<int>"))
     return rows.withColumn("__copy", F.explode(copies)).select([F.col(f"`{c}`") for c in docs.columns])
