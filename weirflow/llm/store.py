@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+#: While a list is here, the paths of new tables are noted in it.
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note in ``paths`` the tables that are written meanwhile."""
+    _noting.append(paths)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a new folder where it is unset, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +52,8 @@ def written(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFram
     """``df`` written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _noting:
+        paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
