@@ -43,9 +43,9 @@ LENGTH = 50
 #: Bytes of the sampled suffix that pick it; windows have LENGTH - K + 1 places for it.
 K = 16
 #: Bytes of text whose tuples meet in one bucket, on average.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text whose tuples a task holds before it sends them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 
 _U = np.uint64
 LAST = 2**63 - 1
