@@ -379,6 +379,19 @@ def test_wrapper_joined_by_host(spark, monkeypatch):
     assert sorted(map(tuple, wrapper.extract(pages).collect())) == want
 
 
+ARTICLE = "<html><body><article><h1>Title {k}</h1><p>first {k}</p>{a}<p>Read <a href='/x'>our letter</a> every week</p>{b}<p>last {k}</p></article></body></html>"
+
+
+def test_template_blocks_inside_articles(spark):
+    rows = [(k, f"http://h/{k}", ARTICLE.format(k=k, a=f"<p>more {k}</p>" * (k % 3), b=f"<p>yet more {k}</p>" * (k % 2))) for k in range(6)]
+    rows += [(10 + k, "http://same/", "<main><p>one text</p><p>of two</p></main>") for k in range(4)] + [(20 + k, "http://two/", f"<article><p>kept here</p><p>{k}</p></article>") for k in range(2)]
+    for df in (spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(5)):
+        got = {r.page_id: r.text.split("\n\n") for r in wrapper.extract(df).collect()}
+        for k in range(6):
+            assert got[k] == [f"Title {k}", f"first {k}", *[f"more {k}"] * (k % 3), *[f"yet more {k}"] * (k % 2), f"last {k}"]
+        assert all(got[10 + k] == ["one text", "of two"] for k in range(4)) and got[20] == ["kept here", "0"]
+
+
 def test_trees_merge_in_any_order():
     trees = [wrapper.fold([wrapper.parse(PAGE.format(body=f"<p>{k}</p>" * k))]) for k in range(4)]
     a = wrapper.merge(wrapper.merge(trees[0], trees[1]), wrapper.merge(trees[2], trees[3]))

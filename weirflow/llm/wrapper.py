@@ -9,10 +9,15 @@ that vary are content. Merging is associative and commutative, so each partition
 merges its own pages and the hosts' trees meet in two levels; no page count
 changes the size of a tree.
 
-Extraction aligns a page with its host's template. Inside the page's article
-element (or main) only elements that say they are something else are left out
-(menus, asides, adverts, forms, comments); elsewhere template nodes go as well,
-and the container with most of the varying text is the article.
+Siblings of one label are matched by their texts: a block (label and text) that
+half of the host's pages have is template wherever it stands among its siblings. These are
+counted exactly, beside the trees.
+
+Extraction aligns a page with its host's template. Template blocks are left out, in the
+page's article element (or main) too, and so are elements that say they are something
+else (menus, asides, adverts, forms, comments). Elsewhere template nodes go as well, and
+the container with most of the varying text is the article. An article of which nothing
+varies (a page that its host repeats) is kept by the element rules alone.
 
 Defined results: null or empty pages have an empty text; pages without a host
 are a group of their own under the empty host; repeated rows are extracted one
@@ -24,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
+from collections import Counter
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -172,15 +178,27 @@ def merge(a: list, b: list) -> list:
     return [a[0] + b[0], a[1] if a[1] == b[1] else None, out]
 
 
-def _blocks(node: Element, template, pages: int, inside: bool, out: list[str]) -> None:
-    """Texts of the blocks below ``node``, in page order, without what is not the article."""
+def _sign(label: str, text: str) -> int:
+    return int.from_bytes(blake2b(f"{label} {text}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _blocks(node: Element, template, pages: int, inside: bool, out: list[str], constants=frozenset(), signs: set[int] | None = None) -> None:
+    """Texts of the blocks below ``node``, in page order, without what is not the article; their signs go to ``signs``."""
     held: list[str] = []
+    labels = [node.label]
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
-        if text:
-            out.append(text)
+        if not text:
+            return
+        if constants or signs is not None:
+            sign = _sign(labels[-1], text)
+            if signs is not None:
+                signs.add(sign)
+            if sign in constants:
+                return
+        out.append(text)
 
     def walk(x: Element, t, inside: bool) -> None:
         for c in x.children:
@@ -202,8 +220,10 @@ def _blocks(node: Element, template, pages: int, inside: bool, out: list[str]) -
                 continue
             if c.tag in BLOCK:
                 flush()
+                labels.append(c.label)
                 walk(c, below, inside)
                 flush()
+                labels.pop()
             else:
                 walk(c, below, inside)
 
@@ -238,31 +258,49 @@ def _length(blocks: list[str]) -> int:
     return sum(map(len, blocks))
 
 
-def main_text(page: str, template: list | None = None) -> str:
+#: What holds a page's article by its own word, in order of preference.
+ARTICLES = (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.role == "main")
+
+
+def signs_of(root: Element) -> set[int]:
+    """The signs of the blocks that a page's article is taken from."""
+    signs: set[int] = set()
+    for want in ARTICLES:
+        for x, _ in _find(root, None, want):
+            _blocks(x, None, 0, True, [], signs=signs)
+        if signs:
+            return signs
+    _blocks(root, None, 0, False, [], signs=signs)
+    return signs
+
+
+def main_text(page: str, template: list | None = None, constants=frozenset()) -> str:
     """The article of a page; blocks are joined by two line ends."""
     if not page:
         return ""
     root, pages = parse(page), template[0] if template else 0
-    for want in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.role == "main"):
-        best: list[str] = []
-        for x, t in _find(root, template, want):
-            blocks: list[str] = []
-            _blocks(x, t, pages, True, blocks)
-            if _length(blocks) > _length(best):
-                best = blocks
-        if best:
-            return "\n\n".join(best)
+    for want in ARTICLES:
+        found = _find(root, template, want)
+        for known in (constants, frozenset()) if constants else (constants,):
+            best: list[str] = []
+            for x, t in found:
+                blocks: list[str] = []
+                _blocks(x, t, pages, True, blocks, known)
+                if _length(blocks) > _length(best):
+                    best = blocks
+            if best:
+                return "\n\n".join(best)
     best = []
     node, t = root, template
     while True:
         blocks = []
-        _blocks(node, t, pages, False, blocks)
+        _blocks(node, t, pages, False, blocks, constants)
         inner: tuple[list[str], Element, list | None] | None = None
         for c in node.children:
             if isinstance(c, Element) and c.tag in ("body", "div", "section", "td", "table", "tbody", "tr", "center") and not is_other(c, False):
                 below = t[2].get(c.label) if t is not None else None
                 own: list[str] = []
-                _blocks(c, below, pages, False, own)
+                _blocks(c, below, pages, False, own, constants)
                 if inner is None or _length(own) > _length(inner[0]):
                     inner = (own, c, below)
         best = blocks
@@ -278,22 +316,30 @@ def host_of(url: Column) -> Column:
 
 
 _TREES = "host string, salt int, tree binary"
+_INDUCED = "host string, salt int, tree binary, sign long, n long"
+#: Signs that a partition counts before it sends them on.
+HELD_SIGNS = 200_000
 
 
 def _partition_trees(batches):
-    """One merged tree for each host of a partition, sent on whenever many hosts are held."""
+    """One merged tree for each host of a partition with its pages, and the pages of each sign; sent on whenever many are held."""
     trees: dict[str, list] = {}
+    counts: Counter[tuple[str, int]] = Counter()
 
     def send():
-        rows = list(trees.items())
+        rows = [(h, hash_salt(raw := pickle.dumps(t)), raw, None, t[0]) for h, t in trees.items()] + [(h, None, None, sign, n) for (h, sign), n in counts.items()]
         trees.clear()
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([hash_salt(pickle.dumps(t)) for _, t in rows], pa.int32()), pa.array([pickle.dumps(t) for _, t in rows], pa.binary())], ["host", "salt", "tree"])
+        counts.clear()
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], ["host", "salt", "tree", "sign", "n"])
 
     for rows in batches:
         for host, page in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-            tree = fold([parse(page)])
+            root = parse(page)
+            tree = fold([root])
             trees[host] = merge(trees[host], tree) if host in trees else tree
-        if len(trees) >= 2000:
+            counts.update((host, sign) for sign in signs_of(root))
+        if len(trees) >= 2000 or len(counts) >= HELD_SIGNS:
             yield send()
     yield send()
 
@@ -312,29 +358,33 @@ def _meet(pdf):
 
 
 def induce(pages: DataFrame, url="url", html="html") -> DataFrame:
-    """(host, salt, tree): the merged tree of each host's pages."""
+    """(host, tree, constants): the merged tree of each host's pages and the signs of its template blocks."""
     base = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).filter(F.col("html") != "")
-    first = base.mapInArrow(_partition_trees, _TREES).groupBy("host", "salt").applyInPandas(_meet, _TREES)
-    return first.groupBy("host").applyInPandas(_meet, _TREES)
+    induced = written(base.mapInArrow(_partition_trees, _INDUCED), "induced")
+    trees = induced.filter("tree IS NOT NULL")
+    first = trees.select("host", "salt", "tree").groupBy("host", "salt").applyInPandas(_meet, _TREES)
+    of = trees.groupBy("host").agg(F.sum("n").alias("pages"))
+    shared = induced.filter("sign IS NOT NULL").groupBy("host", "sign").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    constants = shared.join(of, "host").filter("2 * n >= pages").groupBy("host").agg(F.collect_list("sign").alias("constants"))
+    return first.groupBy("host").applyInPandas(_meet, _TREES).select("host", "tree").join(constants, "host", "left")
 
 
 _OUT = "id long, url string, text string, n_chars long"
 
 
-def _extract(known: dict[str, bytes] | None):
+def _extract(known: dict[str, tuple[bytes, list[int]]] | None):
     def run(batches):
-        trees: dict[str, list] = {}
+        trees: dict[str, tuple] = {}
         for rows in batches:
             ids, urls, hosts, pages = (rows.column(k) for k in range(4))
-            joined = rows.column(4).to_pylist() if known is None else None
             texts = []
             for k, (host, page) in enumerate(zip(hosts.to_pylist(), pages.to_pylist(), strict=True)):
                 if host not in trees:
-                    raw = known.get(host) if known is not None else joined[k]
+                    raw, constants = known.get(host, (None, None)) if known is not None else (rows.column(4)[k].as_py(), rows.column(5)[k].as_py())
                     if len(trees) > 5000:
                         trees.clear()
-                    trees[host] = pickle.loads(raw) if raw else None
-                texts.append(main_text(page, trees[host]))
+                    trees[host] = (pickle.loads(raw) if raw else None, frozenset(constants or ()))
+                texts.append(main_text(page, *trees[host]))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     return run
@@ -343,10 +393,11 @@ def _extract(known: dict[str, bytes] | None):
 def extract(pages: DataFrame, key="page_id", url="url", html="html") -> DataFrame:
     """(key, url, text, n_chars) of each page: its main text and that text's code points."""
     small_batches(pages.sparkSession)
-    templates = written(induce(pages, url, html).select("host", "tree"), "templates")
+    templates = written(induce(pages, url, html), "templates")
     base = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    if (templates.agg(F.sum(F.octet_length("tree") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
-        out = base.mapInArrow(_extract({r.host: bytes(r.tree) for r in templates.toLocalIterator()}), _OUT)
+    size = F.octet_length("tree") + F.octet_length("host") + 8 * F.coalesce(F.array_size("constants"), F.lit(0))
+    if (templates.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        out = base.mapInArrow(_extract({r.host: (bytes(r.tree), r.constants) for r in templates.toLocalIterator()}), _OUT)
     else:
-        out = base.join(templates, "host", "left").select("id", "url", "host", "html", "tree").mapInArrow(_extract(None), _OUT)
+        out = base.join(templates, "host", "left").select("id", "url", "host", "html", "tree", "constants").mapInArrow(_extract(None), _OUT)
     return out.select(F.col("id").alias(key), "url", "text", "n_chars")
