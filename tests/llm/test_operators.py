@@ -320,6 +320,15 @@ def test_chunks_resist_insertions():
     assert max(map(len, cuts(b"q" * 5000))) <= chunks.MOST
 
 
+def test_passages_of_fifty_words_hold_whole_chunks(spark):
+    r = random.Random(21)
+    passages = [" ".join("".join(r.choice("abcdeiorstü") for _ in range(r.randrange(2, 9))) for _ in range(51)) for _ in range(300)] + ["eneinä " * 51, "the " * 51]
+    rows = [(2 * k + c, f"{prose(30 + k % 7, 900 + 2 * k + c)} {p} {prose(30, 2900 + 2 * k + c)}") for k, p in enumerate(passages) for c in (0, 1)]
+    got = {x.doc_id: x.n_removed for x in chunks.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1] > 0 for k in range(len(passages)))
+    assert sum(got[2 * k + 1] for k in range(len(passages))) > 0.65 * sum(len(p.encode()) for p in passages)
+
+
 def test_substring_dedup(spark, docs, none):
     import numpy as np
 

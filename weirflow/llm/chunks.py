@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut wherever the top bits of a 32-byte gear hash are zero, so cuts
-follow the content and come back into step after an insertion. The rule is
-local: a cut stands unless another candidate lies less than ``LEAST`` bytes before it;
-a chunk longer than ``MOST`` is cut at every ``MOST`` bytes of itself. Chunks
+A text is cut wherever a 16-byte gear hash is the smallest among the ``LEAST`` ones
+before and behind it, so cuts follow the content and come back into step after an
+insertion. Where a text repeats itself within that reach, equal hashes cut it into equal pieces.
+Cuts are at least ``LEAST`` bytes apart and rarely more than four times that, so that
+a passage of 50 words in other surroundings holds whole chunks; a chunk longer than ``MOST`` is cut
+at every ``MOST`` bytes of itself. Chunks
 are deduplicated by a 128-bit digest: the document of the smallest id keeps a
 chunk, and inside one document its first occurrence.
 
@@ -26,14 +28,12 @@ from . import kernel
 from .store import small_batches, written
 
 LEAST, MOST = 24, 1024
-#: A cut needs so many zero bits at the top of the hash: one in 64 positions.
-ZEROS = 6
-_WINDOW = 32
+_WINDOW = 16
 _GEAR = np.random.default_rng(811).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 def gear_hashes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The gear hash of the 32 bytes that end at each position; what precedes a text counts as nothing."""
+    """The gear hash of the 16 bytes that end at each position; what precedes a text counts as nothing."""
     lens = np.diff(offs)
     place = np.arange(len(data)) + (_WINDOW - 1) * np.repeat(np.arange(len(lens)), lens)
     h = np.zeros(len(data) + (_WINDOW - 1) * len(lens), np.uint32)
@@ -46,18 +46,48 @@ def gear_hashes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return h[place]
 
 
+def _least_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the ``n`` values that begin at each position, as far as there are so many."""
+    step = 1
+    while 2 * step <= n:
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    return np.minimum(h[: len(h) - (n - step)], h[n - step :])
+
+
+def candidates(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Positions whose hash is at most the ``LEAST`` before and behind it, in the same text."""
+    lens = np.diff(offs)
+    place = LEAST + np.arange(len(data)) + LEAST * np.repeat(np.arange(len(lens)), lens)
+    h = np.full(len(data) + LEAST * (len(lens) + 1), 2**32 - 1, np.uint32)
+    own = gear_hashes(data, offs)
+    h[place] = own
+    least = _least_of(h, LEAST)
+    return np.flatnonzero((own <= least[place - LEAST]) & (own <= least[place + 1]))
+
+
+def _apart(found: np.ndarray) -> np.ndarray:
+    """Without those less than ``LEAST`` bytes behind the last kept; only texts that repeat themselves have such."""
+    close = np.flatnonzero(np.diff(found) < LEAST) + 1
+    keep, last, before = np.ones(len(found), bool), 0, -1
+    at = found[close].tolist()
+    for k, x in zip(close.tolist(), at, strict=True):
+        last = int(found[k - 1]) if k - 1 != before else last
+        keep[k] = x - last >= LEAST
+        last, before = (x, k) if keep[k] else (last, k)
+    return found[keep]
+
+
 def cut_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all chunks of a block of texts, in order."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.unique(offs[1:][np.diff(offs) > 0])
     begins = np.concatenate([[0], ends[:-1]])
-    found = np.flatnonzero((gear_hashes(data, offs) >> np.uint32(32 - ZEROS)) == 0) + 1
+    found = candidates(data, offs) + 1
     found = found[~np.isin(found, ends)]
     text = np.searchsorted(ends, found, "right")
-    before = begins[text]
-    before[1:] = np.maximum(before[1:], found[:-1])
-    found = found[found - before >= LEAST]
+    found = _apart(found[(found - begins[text] >= LEAST) & (ends[text] - found >= LEAST)])
     marks = np.unique(np.concatenate([begins, found, [len(data)]]))
     start, end = marks[:-1], marks[1:]
     pieces = -(-(end - start) // MOST)
