@@ -247,6 +247,22 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.without_near_duplicates(docs).columns == docs.columns
 
 
+def test_null_ids_with_near_copies(spark):
+    def text(seed, change):
+        words = prose(120, seed).split()
+        return " ".join([*words[:60], change, *words[61:]])
+
+    rows = [(None if k % 2 == side else 2 * seed + side, text(seed, f"w{k}")) for seed in range(50, 62) for side in (0, 1) for k in (0, 1)]
+    rows += [(None, text(70, "a")), (None, text(70, "b")), (None, text(71, "c")), (None, "no copy of it anywhere else"), (900, text(72, "e")), (None, text(72, "e"))]
+    # Whether the null id is hub or member lies with the digests: both occur among so many pairs.
+    rows += [(1000 + k, text(80 + k, "x")) for k in range(8)] + [(None, text(80 + k, "y")) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == sorted(want, key=repr)
+    kept = [row for row, w in zip(rows, want, strict=True) if w[3]]
+    assert sorted(key_text(minhash.without_near_duplicates(df)), key=repr) == sorted(kept, key=repr)
+
+
 def test_components(spark, monkeypatch):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]

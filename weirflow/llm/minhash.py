@@ -22,7 +22,7 @@ With 48 bands of 4 bins a pair of similarity 0.75 shares no bucket with a chance
 Defined results: null texts and texts without words have no shingles, are their own
 component and stay; texts of one to four words have their whole sequence as
 their shingle; rows of equal id count as one document; null ids never lead a
-component that has another id; an empty table gives an empty result; further
+component that has another id, and their texts are found by node; an empty table gives an empty result; further
 columns are left out. Nodes are 64-bit digests of sets.
 """
 
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernel
 from .components import components
@@ -107,6 +108,14 @@ def _check_node(batches):
         yield batch.filter(same)
 
 
+def _with_node(batches):
+    """The rows with the node of their text, the last column, in its place."""
+    for batch in batches:
+        data, offs = kernel.as_bytes(batch.column(batch.num_columns - 1))
+        own = [digest(s) if len(s) else None for _, _, raw, at in kernel.blocks(data, offs) for s in kernel.shingle_sets(raw, at, WIDTH)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.int64())], [*batch.schema.names[:-1], "__node"])
+
+
 _FOUND = "hub long, node long, both long, either long"
 
 
@@ -134,8 +143,12 @@ def _confirm(batches):
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One whole text for each of ``nodes`` (node, id)."""
     nodes = written(nodes, "involved")
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    found = docs.join(nodes, "id").select("node", "text").mapInArrow(_check_node, "node long, text string")
+    small = nodes.count() <= BROADCAST_NODES
+    told, bare = (F.broadcast(x) if small else x for x in (nodes.filter("id IS NOT NULL"), nodes.filter("id IS NULL").select("node")))
+    found = docs.join(told, "id").select("node", "text").mapInArrow(_check_node, "node long, text string")
+    # Sets that no row with an id has.
+    signed = docs.filter("id IS NULL").select("text", F.col("text").alias("own")).mapInArrow(_with_node, "text string, __node long").withColumnRenamed("__node", "node")
+    found = found.unionByName(signed.join(bare, "node", "left_semi").select("node", "text"))
     return written(found.dropDuplicates(["node"]), "node-texts")
 
 
@@ -218,6 +231,11 @@ def _links(found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row."""
+    return _judged(docs, key, text).select(F.col("id").alias(key), "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, node, n_shingles, component_id, kept) of each row."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = written(base.mapInArrow(_sign, _SIGNED), "signatures")
@@ -251,10 +269,16 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     led = root.groupBy("root").agg(F.min("id").alias("component_id"))
     of = root.join(led, "root").select("node", "component_id")
     leads = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return signed.select("id", "n", "node").join(of, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), leads.alias("component_id"), F.col("id").eqNullSafe(leads).alias("kept"))
+    return signed.select("id", "n", "node").join(of, "node", "left").select("id", "node", F.col("n").alias("n_shingles"), leads.alias("component_id"), F.col("id").eqNullSafe(leads).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with the smallest id."""
-    gone = written(near_duplicates(docs, key, text).filter(~F.col("kept")).select(F.col(key).alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay: of each component those with the smallest id. Rows with a null id go by node."""
+    gone = written(_judged(docs, key, text).filter(~F.col("kept")).select("id", F.when(F.col("id").isNull(), F.col("node")).alias("node")).distinct(), "gone")
+    ids = gone.filter("id IS NOT NULL").select(F.col("id").alias("__gone"))
+    nodes = gone.filter("id IS NULL").select(F.col("node").alias("__gone"))
+    told = docs.filter(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("__gone"), "left_anti")
+    bare = docs.filter(F.col(key).isNull())
+    schema = StructType([*bare.schema.fields, StructField("__node", LongType())])
+    signed = bare.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).mapInArrow(_with_node, schema)
+    return told.unionByName(signed.join(nodes, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns))
