@@ -145,6 +145,19 @@ def test_templates_catch_other_numbers_and_names(spark):
     assert small == got
 
 
+def test_dense_items_with_other_numbers(spark, monkeypatch):
+    item = "Tom paid 12 dollars, Ann 15 dollars, Bob 9 dollars and Eve 4 dollars total"
+    rows = [
+        (1, "Tom paid 13 dollars, Sue 18 dollars, Jim 7 dollars and Kim 5 dollars total"), (2, "so it was said that Tom paid 1 kg, Sue 2 kg, Jim 3 kg and Kim 4 kg total, and more of it"),
+        (3, "Tom paid 12 dollars, Ann 15 dollars, Bob 9 dollars"), (4, "Tom paid 1 kg, Sue 2 lbs, Jim 3 miles and Kim 4 cm total"), (5, "all in all 3 kg, Sue 4 kg, Jim 5 kg, Ann 6 kg, Bob 7 kg, Kim 8 kg"), (6, "no numbers here and nothing of the item in it"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, "1 2 3 4 5 6 7 8 9")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (decontam.COMPARED, 1):
+        monkeypatch.setattr(decontam, "COMPARED", size)
+        assert {r.doc_id for r in decontam.contamination(docs, bench).filter("contaminated").collect()} == {1, 2}
+
+
 def test_decontamination_edges(spark, docs, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.contamination(none, bench).count() == 0

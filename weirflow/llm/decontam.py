@@ -9,7 +9,9 @@ other numbers and names are caught as well as verbatim ones.
 
 Names are capitalised words inside a sentence, runs of them one name; units are
 words of a fixed list after a number. A window of placeholders alone would match
-anything, so windows with fewer than two literal words match word for word. The benchmark's windows are the build side:
+anything, so windows with fewer than two literal words match word for word by themselves.
+They match as templates too along an alignment, which begins at any window with a literal word, and
+where the consistent windows of the item's alignments cover ``EVIDENCE`` literal words of it at least. The benchmark's windows are the build side:
 they go to the executors in blocks of ``BLOCK_WINDOWS`` at most, one pass over
 the texts for each block, so their size is bounded whatever the benchmark.
 
@@ -35,6 +37,10 @@ WIDTH = 5
 LEAST = 0.75
 #: A window of fewer literal words than this says nothing as a template and must match word for word.
 LITERALS = 2
+#: Literal words of an item that its alignments must cover before windows with fewer than ``LITERALS`` match as templates.
+EVIDENCE = 3
+#: Windows of alignments that are compared at once.
+COMPARED = 1 << 20
 #: Windows of the benchmark that executors hold at once: 24 bytes each, and 16 a token.
 BLOCK_WINDOWS = 1 << 20
 
@@ -118,6 +124,15 @@ class Benchmark:
         self.hashes = runs[self.at]
         self.of = text[self.at]
         self.windows = np.maximum(np.diff(bounds) - WIDTH + 1, 0)
+        # Alignments of items with windows of fewer than ``LITERALS`` literals begin at windows with one literal.
+        self.runs = kernel.window_hash(token, WIDTH)
+        literal = _sums(self.kind == LITERAL)
+        count = literal[WIDTH:] - literal[:-WIDTH] if len(self.runs) else np.zeros(0, np.int64)
+        dense = np.unique(text[at[count[at] < LITERALS]])
+        begin = at[(count[at] > 0) & np.isin(text[at], dense)]
+        self.begin = begin[np.argsort(self.runs[begin], kind="stable")]
+        self.begin_hashes = self.runs[self.begin]
+        self.begin_of = text[self.begin]
         self.short: dict[int, list[int]] = defaultdict(list)
         for k in range(len(items)):
             n = bounds[k + 1] - bounds[k]
@@ -142,6 +157,46 @@ class Benchmark:
                 good.add(q)
         return good
 
+    def alignments(self, token: np.ndarray, text: np.ndarray) -> dict[tuple[int, int], list[list[tuple[int, int]]]]:
+        """For each text and item, with enough of them for a closer look, the hits of each alignment by template alone."""
+        runs = kernel.window_hash(token, WIDTH)
+        lines: dict[tuple[int, int], list[list[tuple[int, int]]]] = defaultdict(list)
+        if not len(runs) or not len(self.begin):
+            return lines
+        low, high = np.searchsorted(self.begin_hashes, runs, "left"), np.searchsorted(self.begin_hashes, runs, "right")
+        hit = np.flatnonzero((high > low) & (text[: len(runs)] == text[WIDTH - 1 :]))
+        low, high = low[hit], high[hit]
+        near = np.repeat(hit, high - low)
+        item = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange(len(near)) if len(hit) else near
+        found = np.unique(np.column_stack([text[near], self.begin_of[item], near - self.begin[item]]), axis=0)
+        of, shift = found[:, 1], found[:, 2]
+        equal = np.zeros(len(found), np.int64)
+
+        def compare(a: int, b: int):
+            n = self.windows[of[a:b]]
+            line = np.repeat(np.arange(a, b), n)
+            q = self.bounds[of[line]] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+            p = q + shift[line]
+            inside = (p >= 0) & (p < len(runs))
+            line, p, q = line[inside], p[inside], q[inside]
+            same = (runs[p] == self.runs[q]) & (text[p] == found[line, 0]) & (text[p + WIDTH - 1] == found[line, 0])
+            return line[same], p[same], q[same]
+
+        total = np.cumsum(self.windows[of])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(COMPARED, (total[-1] if len(total) else 0), COMPARED)), [len(found)]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            equal += np.bincount(compare(a, b)[0], minlength=len(found))
+        # Rows are in order of text and item, so the alignments of a pair are neighbours.
+        first = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)])) if len(found) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(equal, first) if len(first) else equal
+        for g in np.flatnonzero(sums >= LEAST * self.windows[of[first]]) if len(first) else ():
+            a, b = int(first[g]), int(first[g + 1]) if g + 1 < len(first) else len(found)
+            line, p, q = compare(a, b)
+            for k in range(a, b):
+                mine = line == k
+                lines[int(found[a, 0]), int(of[a])].append(list(zip(p[mine].tolist(), q[mine].tolist(), strict=True)))
+        return lines
+
     def leaks(self, data: np.ndarray, offs: np.ndarray) -> dict[int, dict[int, float]]:
         """For each text of a block the items that leak into it, with the share of their windows."""
         token, kind, value, text = templates(data, offs)
@@ -168,6 +223,16 @@ class Benchmark:
                 share = len(good) / self.windows[i]
                 if share >= LEAST:
                     out[t][i] = float(share)
+        for (t, i), aligned in self.alignments(token, text).items():
+            if i in out.get(t, ()):
+                continue
+            good = set()
+            for hits in aligned:
+                good |= self.consistent(hits, kind, value)
+            share = len(good) / self.windows[i]
+            words = {q + j for q in good for j in range(WIDTH) if self.kind[q + j] == LITERAL}
+            if share >= LEAST and len(words) >= EVIDENCE:
+                out[t][i] = float(share)
         if self.short:
             bounds = np.searchsorted(text, np.arange(len(offs)))
             for t in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < WIDTH)):
