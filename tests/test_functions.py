@@ -156,3 +156,10 @@ def test_entry(spark):
 def test_missing_contract_columns(spark):
     with pytest.raises(ValueError):
         quality.missing_columns(spark.range(1), ["id", "text_raw"])
+
+
+def test_permutations_as_many_as_in_the_reference(spark):
+    rows = [("a", float(k), 2.0 * k) for k in range(30)] + [("b", 1.0, float(k)) for k in range(5)] + [("c", float(k), float(k * k % 7)) for k in range(12)]
+    got = {r.asset_id: r for r in finance.permutation_p(spark.createDataFrame(rows, "asset_id string, x double, y double"), "asset_id").collect()}
+    assert got["a"].p_value == pytest.approx(1 / 10_000) and got["b"].p_value is None
+    assert 0.05 < got["c"].p_value < 1 and got["c"].n_pairs == 12
