@@ -158,6 +158,13 @@ def test_dense_items_with_other_numbers(spark, monkeypatch):
         assert {r.doc_id for r in decontam.contamination(docs, bench).filter("contaminated").collect()} == {1, 2}
 
 
+def test_short_items_inside_longer_texts(spark):
+    bench = spark.createDataFrame([(1, "who wrote Hamlet?"), (2, "short one"), (3, "Ada King Byron Lovelace Noel Gordon Lamb"), (4, "?")], "item_id long, text string")
+    rows = [(1, "they asked: who wrote Hamlet? nobody knew"), (2, "who then wrote Hamlet"), (3, "a short one"), (4, "so Ada King Byron Lovelace Noel Gordon Lamb it was"), (5, "Ada King Byron Lovelace Noel Gordon"), (6, "who wrote"), (7, "Hamlet?"), (8, "")]
+    got = {r.doc_id: r.items for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {k: v for k, v in got.items() if v} == {1: [1], 4: [3]}
+
+
 def test_decontamination_edges(spark, docs, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.contamination(none, bench).count() == 0

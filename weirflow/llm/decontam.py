@@ -17,7 +17,8 @@ the texts for each block, so their size is bounded whatever the benchmark.
 
 Defined results: null and empty texts hold nothing; items without words leak
 nowhere; an item of fewer than five tokens leaks into texts whose whole
-template it is; repeated items count once; an empty benchmark leaves every text
+template it is and, from ``SHORT`` words on, into texts that hold its very words in a row (one or two
+words in a row mean nothing in a longer text); repeated items count once; an empty benchmark leaves every text
 clean; repeated rows are judged one by one; further columns are left out.
 """
 
@@ -39,6 +40,8 @@ LEAST = 0.75
 LITERALS = 2
 #: Literal words of an item that its alignments must cover before windows with fewer than ``LITERALS`` match as templates.
 EVIDENCE = 3
+#: Words from which on an item of fewer than ``WIDTH`` tokens is looked for inside texts.
+SHORT = 3
 #: Windows of alignments that are compared at once.
 COMPARED = 1 << 20
 #: Windows of the benchmark that executors hold at once: 24 bytes each, and 16 a token.
@@ -96,6 +99,30 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return token, kind, value, text
 
 
+def plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value hash and text number of each word, names not put together."""
+    keep = kernel.CORE[data]
+    kept = _sums(keep)
+    start, end, text = kernel.words(data, offs)
+    solid = kept[end] > kept[start]
+    if not solid.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return kernel.word_hashes(data[keep], kept[start[solid]], kept[end[solid]]), text[solid]
+
+
+def _run_hash(value: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` words; runs longer than a window are hashed in windows of windows."""
+    if width <= WIDTH:
+        return kernel.window_hash(value, width)
+    runs, at = kernel.window_hash(value, WIDTH), np.arange(0, width - WIDTH + 1, WIDTH)
+    at = np.unique(np.append(at, width - WIDTH))
+    n = max(0, len(value) - width + 1)
+    out = np.full(n, width, np.uint64)
+    for k in at.tolist():
+        out = kernel.mix(out * kernel.MULTIPLIERS[58] + runs[k : k + n])
+    return out
+
+
 def window_keys(token: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """The hash of each window: of its template, or of its very words where under ``LITERALS`` of them are literal."""
     runs = kernel.window_hash(token, width)
@@ -140,6 +167,15 @@ class Benchmark:
                 a, b = bounds[k], bounds[k + 1]
                 self.short[int(window_keys(token[a:b], self.kind[a:b], self.value[a:b], int(n))[0])].append(k)
 
+        self.plain: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        if self.short:
+            value, of = plain_words(np.frombuffer(b"".join(raw), np.uint8), offs)
+            bounds = np.searchsorted(of, np.arange(len(items) + 1))
+            for k in sorted(k for group in self.short.values() for k in group):
+                n = int(bounds[k + 1] - bounds[k])
+                if n >= SHORT:
+                    self.plain[n][int(_run_hash(value[bounds[k] : bounds[k + 1]], n)[0])].append(k)
+
     def consistent(self, hits: list[tuple[int, int]], kind: np.ndarray, value: np.ndarray) -> set[int]:
         """Of one alignment's hits (text token, item token) those whose placeholders agree with the ones before."""
         stands: dict[tuple[int, int], int] = {}
@@ -239,6 +275,13 @@ class Benchmark:
                 a, b = bounds[t], bounds[t + 1]
                 for i in self.short.get(int(window_keys(token[a:b], kind[a:b], value[a:b], int(b - a))[0]), ()):
                     out[int(t)][i] = 1.0
+        if self.plain:
+            value, text = plain_words(data, offs)
+            for n, known in self.plain.items():
+                runs = _run_hash(value, n)
+                for p in np.flatnonzero(np.isin(runs, np.array(list(known), np.uint64)) & (text[: len(runs)] == text[n - 1 :])) if len(runs) else ():
+                    for i in known[int(runs[p])]:
+                        out[int(text[p])][i] = 1.0
         return out
 
 
