@@ -222,8 +222,8 @@ def shingle_set(t):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
-def brute_components(rows):
-    sets = [(i, shingle_set(t)) for i, t in rows]
+def brute_groups(sets):
+    """The component of each set, by comparing all pairs."""
     up = list(range(len(sets)))
 
     def root(k):
@@ -233,15 +233,21 @@ def brute_components(rows):
 
     for a in range(len(sets)):
         for b in range(a):
-            x, y = sets[a][1], sets[b][1]
+            x, y = sets[a], sets[b]
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 up[root(a)] = root(b)
+    return [root(k) for k in range(len(sets))]
+
+
+def brute_components(rows):
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    roots = brute_groups([s for _, s in sets])
     least = defaultdict(list)
     for k, (i, _) in enumerate(sets):
-        least[root(k)].append(i)
+        least[roots[k]].append(i)
     out = []
     for k, (i, s) in enumerate(sets):
-        ids = [v for v in least[root(k)] if v is not None]
+        ids = [v for v in least[roots[k]] if v is not None]
         c = min(ids) if ids and s else i
         out.append((i, len(s), c, i == c))
     return out
@@ -279,8 +285,51 @@ def test_null_ids_with_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows)
     assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == sorted(want, key=repr)
-    kept = [row for row, w in zip(rows, want, strict=True) if w[3]]
-    assert sorted(key_text(minhash.without_near_duplicates(df)), key=repr) == sorted(kept, key=repr)
+    assert_one_each(rows, key_text(minhash.without_near_duplicates(df)))
+
+
+def assert_one_each(rows, kept):
+    """Of each component exactly one row is left, that of the smallest id; rows without words all stay."""
+    groups = defaultdict(list)
+    for row, c in zip(rows, brute_groups([shingle_set(t) for _, t in rows]), strict=True):
+        groups[c].append(row)
+    left = Counter(kept)
+    for mine in groups.values():
+        if not shingle_set(mine[0][1]):
+            continue
+        ids = [i for i, _ in mine if i is not None]
+        found = [r for r in dict.fromkeys(mine) for _ in range(left.pop(r, 0))]
+        assert len(found) == 1 and found[0][0] == (min(ids) if ids else None)
+    assert left == Counter(r for r in rows if not shingle_set(r[1]))
+
+
+def test_one_id_on_several_texts(spark):
+    """Ids rank rows and do not join them: one id on different texts, and its near copies under other ids, null ids among them."""
+    rows = [(2, prose(60, 5)), (2, prose(60, 6)), (1, prose(60, 6) + " end"), (3, prose(60, 5) + " end"), (2, prose(60, 7)), (2, prose(60, 7)), (None, prose(60, 7) + " end"), (None, prose(60, 8)), (None, prose(60, 8)), (5, "a b"), (5, "a b"), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == sorted(brute_components(rows), key=repr)
+    assert_one_each(rows, key_text(minhash.without_near_duplicates(df)))
+
+
+def test_sets_that_share_half_a_digest(spark, monkeypatch):
+    """Names of nodes of 4 bits only: sets that share a name are told apart by the rest of the digest."""
+    whole = minhash.digest
+    monkeypatch.setattr(minhash, "digest", lambda s: (whole(s)[0] % 16, whole(s)[1]) if len(s) else (None, None))
+    rows = near_rows(12, 3) + [(100 + k, prose(40, 200 + k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == sorted(brute_components(rows))
+
+
+def test_open_buckets_take_several_rounds(spark, monkeypatch):
+    """Many texts around one passage, few of them similar: every pair of a bucket is tried in the end."""
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "STEP", 2)
+    passage, rows = prose(100, 31), []
+    for k in range(60):
+        own = prose(28, 300 + k // 2).split()
+        rows.append((k, " ".join([passage, *own[: 20 + 4 * (k % 2)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == sorted(brute_components(rows))
 
 
 def test_components(spark, monkeypatch):

@@ -9,30 +9,39 @@
    smallest, become candidates: a bucket of n nodes has n - 1.
 4. Candidates are confirmed on the full sets. A hub's nodes are dealt in chunks,
    so no task holds a hub's whole group.
-5. Nodes of buckets that are not all in one component by then get the exact way
-   for the rest. Two sets of similarity 0.75 share one of the rarest quarter of
-   either's shingles; nodes of different components that do, and whose sizes
-   allow it, are confirmed too. What thousands of texts have in common (a line,
-   a passage) is not rare, so it makes no pairs. No bucket or partner count is
-   capped.
+5. A bucket whose nodes are not all in one component by then gets more stars:
+   rounds of 4, 32, 256, ... further hubs, each joined to the nodes of other
+   components that have not been hubs before it. A round makes as many
+   pairs as its hubs times the bucket's nodes at most, components are found anew after it,
+   and buckets that have become one component leave. It ends when every node of
+   every open bucket has been a hub, so no pair that shares a bucket is left
+   untried, and nothing is capped. Before a pair is confirmed, exact upper bounds of its
+   intersection must allow the similarity: the sizes, what each set shares with
+   other components at all, and the same by hash group. A pair that shares several
+   buckets is made in the first of them alone.
 
 With 48 bands of 4 bins a pair of similarity 0.75 shares no bucket with a chance of
 1e-8, and less above it.
 
 Defined results: null texts and texts without words have no shingles, are their own
 component and stay; texts of one to four words have their whole sequence as
-their shingle; rows of equal id count as one document; null ids never lead a
-component that has another id, and their texts are found by node; an empty table gives an empty result; further
-columns are left out. Nodes are 64-bit digests of sets.
+their shingle. Every row is a document of its own, and ids only rank them: rows that
+share an id but not a text are linked or not as any others are. Null ids come last: a
+component is led by its smallest id, and only where no row has one by null; ``kept`` compares
+ids, so rows that repeat the leading id are all marked, while ``without_near_duplicates`` leaves exactly one
+row of each component. An empty table gives an empty result; further
+columns are left out. Nodes are digests of sets: 64 bits name them, and where 128 tell apart what 64
+do not, the names are made anew.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernel
 from .components import components
@@ -75,45 +84,41 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return kernel.mix(out)
 
 
-def digest(shingles: np.ndarray) -> int:
-    """A 64-bit digest of a set."""
-    n = np.arange(1, len(shingles) + 1).astype(np.uint64)
-    return int(kernel.mix(np.array([(kernel.mix(shingles + n * kernel.MULTIPLIERS[50]) * kernel.MULTIPLIERS[51]).sum() + _U(len(shingles))], np.uint64)).view(np.int64)[0])
+def digest(shingles: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """A 128-bit digest of a sorted set as two numbers; none of an empty one."""
+    if not len(shingles):
+        return None, None
+    raw = blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-_SIGNED = "id long, n long, node long, bands array<long>"
+_SIGNED = "row long, id long, n long, high long, low long, bands array<long>"
 
 
 def _sign(batches):
     for batch in batches:
-        data, offs = kernel.as_bytes(batch.column(1))
-        n, nodes, bands = [], [], []
+        data, offs = kernel.as_bytes(batch.column(2))
+        n, digests, bands = [], [], []
         for _, _, raw, at in kernel.blocks(data, offs):
             for shingles in kernel.shingle_sets(raw, at, WIDTH):
                 n.append(len(shingles))
-                nodes.append(digest(shingles) if len(shingles) else None)
+                digests.append(digest(shingles))
                 bands.append(band_hashes(shingles).view(np.int64) if len(shingles) else None)
         counts = np.array([0 if b is None else BANDS for b in bands])
         flat = np.concatenate([b for b in bands if b is not None]) if counts.any() else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], ["id", "n", "node", "bands"])
+        high, low = (pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), high, low, lists], ["row", "id", "n", "high", "low", "bands"])
 
 
 def _check_node(batches):
-    """Keeps the rows whose text has the node's set; ids may repeat with other texts."""
+    """Of rows (node, high, low, text) those whose text has the node's set; keys of rows may clash."""
     for batch in batches:
-        data, offs = kernel.as_bytes(batch.column(1))
-        own = [digest(s) if len(s) else None for _, _, raw, at in kernel.blocks(data, offs) for s in kernel.shingle_sets(raw, at, WIDTH)]
-        same = pa.array([a == b for a, b in zip(own, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-        yield batch.filter(same)
-
-
-def _with_node(batches):
-    """The rows with the node of their text, the last column, in its place."""
-    for batch in batches:
-        data, offs = kernel.as_bytes(batch.column(batch.num_columns - 1))
-        own = [digest(s) if len(s) else None for _, _, raw, at in kernel.blocks(data, offs) for s in kernel.shingle_sets(raw, at, WIDTH)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.int64())], [*batch.schema.names[:-1], "__node"])
+        data, offs = kernel.as_bytes(batch.column(3))
+        own = [digest(s) for _, _, raw, at in kernel.blocks(data, offs) for s in kernel.shingle_sets(raw, at, WIDTH)]
+        want = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        same = pa.array([a == b for a, b in zip(own, want, strict=True)], pa.bool_())
+        yield batch.filter(same).select([0, 3])
 
 
 _FOUND = "hub long, node long, both long, either long"
@@ -140,15 +145,11 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["hub", "node", "both", "either"])
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One whole text for each of ``nodes`` (node, id)."""
+def _texts(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One whole text for each of ``nodes`` (node, row, high, low)."""
     nodes = written(nodes, "involved")
-    small = nodes.count() <= BROADCAST_NODES
-    told, bare = (F.broadcast(x) if small else x for x in (nodes.filter("id IS NOT NULL"), nodes.filter("id IS NULL").select("node")))
-    found = docs.join(told, "id").select("node", "text").mapInArrow(_check_node, "node long, text string")
-    # Sets that no row with an id has.
-    signed = docs.filter("id IS NULL").select("text", F.col("text").alias("own")).mapInArrow(_with_node, "text string, __node long").withColumnRenamed("__node", "node")
-    found = found.unionByName(signed.join(bare, "node", "left_semi").select("node", "text"))
+    told = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    found = base.join(told, "row").select("node", "high", "low", "text").mapInArrow(_check_node, "node long, text string")
     return written(found.dropDuplicates(["node"]), "node-texts")
 
 
@@ -163,66 +164,78 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _spread(batches):
-    """The shingles of each node's text."""
+    """(node, shingle) of each node's text, a block of text at a time."""
     for batch in batches:
         data, offs = kernel.as_bytes(batch.column(1))
-        sets = [s.view(np.int64) for _, _, raw, at in kernel.blocks(data, offs) for s in kernel.shingle_sets(raw, at, WIDTH)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "shingles"])
+        nodes = batch.column(0).to_numpy(zero_copy_only=False)
+        for first, _, raw, at in kernel.blocks(data, offs):
+            sets = list(kernel.shingle_sets(raw, at, WIDTH))
+            own = np.repeat(nodes[first : first + len(sets)], [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["node", "shingle"])
 
 
-_ENTRY = "node long, part long, n long, most long, groups array<int>, shingle long"
 #: A set's shingles are counted in so many groups by hash; the smaller counts of two sets bound their intersection.
 GROUPS = 32
+#: Hubs of a bucket in the first round after the stars, and how many times more there are up to each next one.
+HUBS, STEP = 4, 8
 
 
-def _look_up(batches):
-    """The index entries of each set: its rare prefix without shingles that only its own part has."""
-    for batch in batches:
-        out: list[tuple] = []
-        for node, part, n, k, s in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-            k, s = np.array(k, np.int64), np.array(s, np.int64)
-            shared = k > 0
-            most = int(shared.sum())
-            if most * 100 < n * PERCENT:
-                continue
-            groups = np.bincount(s[shared] % GROUPS, minlength=GROUPS).tolist()
-            prefix = n - -(-n * PERCENT // 100) + 1
-            out += [(node, part, n, most, groups, x) for x in s[:prefix][shared[:prefix]].tolist()]
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["node", "part", "n", "most", "groups", "shingle"])
-
-
-def rare_index(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, part, n, most, groups, shingle): what each set is looked up by, so that no pair of different parts that is similar is lost.
-
-    Shingles are ordered from rare to frequent among these nodes, and a set of n
-    is looked up by its first n - ceil(0.75 n) + 1; ``most``, what a set shares
-    with other parts at all, bounds its intersections, and ``groups``, the same by hash group, does so closer.
-    """
-    placed = sets.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    rows = placed.select("node", "part", "n", F.explode("shingles").alias("shingle"))
-    # A shingle of one part alone helps no pair of two parts; such shingles are the rarest of all.
-    seen = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("part").alias("a"), F.max("part").alias("b")).select("shingle", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("k")).alias("k"))
-    ranked = rows.join(seen, "shingle").groupBy("node", "part", "n").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("s"))
-    return written(ranked.select("node", "part", "n", F.col("s.k").alias("k"), F.col("s.shingle").alias("s")).mapInArrow(_look_up, _ENTRY), "rare")
-
-
-def central_stars(index: DataFrame) -> DataFrame:
-    """(hub, node): of each entry of the index the node that shares most, with all others."""
-    hubs = index.groupBy("shingle").agg(F.max(F.struct("most", "node")).alias("h")).select("shingle", F.col("h.node").alias("hub"))
-    return index.join(hubs, "shingle").filter("hub <> node").select("hub", "node").distinct()
-
-
-def rare_pairs(index: DataFrame) -> DataFrame:
-    """(hub, node): every pair of the index that sizes and shared shingles allow."""
-    x, y = index, index.toDF(*[f"{c}_" for c in index.columns])
-    # Two sets of sizes n and m are similar with an intersection of 0.75 / 1.75 * (n + m) at least.
-    enough = F.least("most", "most_") * (100 + PERCENT) >= (F.col("n") + F.col("n_")) * PERCENT
-    sizes = F.least("n", "n_") * 100 >= F.greatest("n", "n_") * PERCENT
-    meet = F.aggregate(F.zip_with("groups", "groups_", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, v: acc + v)
-    enough = enough & (meet * (100 + PERCENT) >= (F.col("n") + F.col("n_")) * PERCENT)
-    pairs = x.join(y, (F.col("shingle") == F.col("shingle_")) & (F.col("node") < F.col("node_")) & (F.col("part") != F.col("part_")) & sizes & enough)
-    return pairs.select(F.col("node").alias("hub"), F.col("node_").alias("node")).distinct()
+def _bounds(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, most, groups) of ``nodes`` (node, part): what each shares with other parts at all, and that by hash group."""
+    rows = written(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_spread, "node long, shingle long"), "open-sets")
+    seen = rows.join(nodes, "node").groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle")
+    # Written first, so that a shingle of very many rows is split among tasks in the join below.
+    met = rows.join(written(seen, "met"), "shingle").withColumn("g", F.pmod("shingle", F.lit(GROUPS)))
+    groups = [F.count_if(F.col("g") == k).cast("int").alias(f"g{k}") for k in range(GROUPS)]
+    counted = met.groupBy("node").agg(F.count("*").alias("most"), *groups)
+    return counted.select("node", "most", F.array(*[f"g{k}" for k in range(GROUPS)]).alias("groups"))
+
+
+def _allowed(a: str, b: str) -> Column:
+    """Whether sizes and shared shingles of two nodes allow the similarity: sets of n and m have 75 / 175 * (n + m) shingles in common at least."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    least = (n + m) * PERCENT
+    meet = F.aggregate(F.zip_with(f"{a}.groups", f"{b}.groups", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, v: acc + v)
+    sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (F.least(f"{a}.most", f"{b}.most") * (100 + PERCENT) >= least)
+    return sizes & (meet * (100 + PERCENT) >= least)
+
+
+def further_links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` with those between nodes of one bucket that its first star has missed."""
+
+    def placed(entries: DataFrame, parts: DataFrame) -> DataFrame:
+        return entries.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+
+    def still_open(entries: DataFrame) -> DataFrame:
+        return entries.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
+
+    parts = components(links)
+    first = written(placed(shared.filter("size > 2").select("bucket", "node", "size"), parts), "placed")
+    entries = written(first.join(still_open(first), "bucket", "left_semi").drop("part"), "open")
+    if entries.isEmpty():
+        return links
+    # Over a third of a set that fits no other part's is a set that is similar to none.
+    bounds = _bounds(texts, placed(entries.select("node").distinct(), parts)).join(nodes.select("node", "n"), "node").filter(F.col("most") * 100 >= F.col("n") * PERCENT)
+    opens = entries.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("opens"))
+    # When a node's turn as hub of a bucket comes: its place in a random order, about.
+    turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
+    entries = written(entries.join(bounds, "node").join(opens, "node").withColumn("turn", turn), "entries")
+    low, high = 0, HUBS
+    while True:
+        live = placed(entries, parts)
+        live = written(live.join(still_open(live), "bucket", "left_semi"), "live")
+        if low >= (live.agg(F.max("size")).first()[0] or 0):
+            return links
+        hubs = live.filter(F.col("turn").between(low, high) & (F.col("turn") < high))
+        later = (F.col("y.turn") > F.col("x.turn")) | ((F.col("y.turn") == F.col("x.turn")) & (F.col("y.node") > F.col("x.node")))
+        once = F.array_min(F.array_intersect("x.opens", "y.opens")) == F.col("x.bucket")
+        met = hubs.alias("x").join(live.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & later & _allowed("x", "y") & once)
+        pairs = written(met.select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")), "rest")
+        more = written(_links(confirm(pairs, texts)), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = components(links)
+        low, high = high, high * STEP
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -231,54 +244,53 @@ def _links(found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row."""
-    return _judged(docs, key, text).select(F.col("id").alias(key), "n_shingles", "component_id", "kept")
+    leads = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("lead.id"))
+    return _judged(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), leads.alias("component_id"), F.col("id").eqNullSafe(leads).alias("kept"))
+
+
+def _row_key(key: Column, text: Column) -> Column:
+    return F.xxhash64(key.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _named(signed: DataFrame) -> DataFrame:
+    """``signed`` with the name of each row's set, ``node``: the first half of its digest, or, where two sets share that, a hash of both halves."""
+    clash = written(signed.filter("n > 0").groupBy("high").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a <> b").select(F.col("high").alias("of")), "clash")
+    if clash.isEmpty():
+        return signed.withColumn("node", F.col("high"))
+    found = signed.join(clash, F.col("high") == F.col("of"), "left")
+    return written(found.withColumn("node", F.when(F.col("of").isNull(), F.col("high")).otherwise(F.xxhash64("low", "high"))).drop("of"), "signatures")
 
 
 def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, node, n_shingles, component_id, kept) of each row."""
+    """(row, id, n, lead) of each row: its key and size, and the id and row key that lead its component, null without shingles."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signed = written(base.mapInArrow(_sign, _SIGNED), "signatures")
-    nodes = written(signed.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "n", "bands")).alias("x")).select("node", "x.id", "x.n", "x.bands"), "nodes")
+    base = docs.select(_row_key(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    signed = _named(written(base.mapInArrow(_sign, _SIGNED), "signatures"))
+    ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "bands")).alias("x")
+    nodes = written(signed.filter("n > 0").groupBy("node").agg(ranked).select("node", "x.*"), "nodes")
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     shared = written(banded.join(hubs, "bucket"), "buckets")
     stars = written(shared.filter("node <> hub").select("hub", "node").distinct(), "stars")
-    involved = stars.select("hub").union(stars.select("node")).distinct().withColumnRenamed("hub", "node").join(nodes.select("node", "id"), "node")
-    texts = _texts(base, involved)
-    found = confirm(stars, texts)
-    links = written(_links(found), "links")
-    parts = components(links)
-
-    # The rest: nodes of a bucket that the stars have left in different components.
-    placed = shared.filter("size > 2").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
-    open_nodes = placed.join(open_buckets, "bucket", "left_semi").select("node").distinct()
-    sets = written(open_nodes.join(texts, "node").select("node", "text").mapInArrow(_spread, "node long, n long, shingles array<long>"), "open-sets")
-    tried = stars.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node"))
-    for propose in (central_stars, rare_pairs):
-        found = propose(rare_index(sets, parts)).select(F.greatest("hub", "node").alias("x"), F.least("hub", "node").alias("y"))
-        new = written(found.distinct().join(tried, (F.col("x") == F.col("hub")) & (F.col("y") == F.col("node")), "left_anti").toDF("hub", "node"), "rest")
-        more = written(_links(confirm(new, texts)), "links")
-        tried = tried.unionByName(new)
-        if more.count():
-            links = links.unionByName(more)
-            parts = components(links)
-
-    root = nodes.select("node", "id").join(parts, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    led = root.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = root.join(led, "root").select("node", "component_id")
-    leads = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return signed.select("id", "n", "node").join(of, "node", "left").select("id", "node", F.col("n").alias("n_shingles"), leads.alias("component_id"), F.col("id").eqNullSafe(leads).alias("kept"))
+    involved = stars.select("hub").union(stars.select("node")).distinct().withColumnRenamed("hub", "node").join(nodes.select("node", "row", "high", "low"), "node")
+    texts = _texts(base.select("row", "text"), involved)
+    links = written(_links(confirm(stars, texts)), "links")
+    parts = components(further_links(shared, nodes, texts, links))
+    root = nodes.select("node", F.struct("no", "id", "row").alias("own")).join(parts, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+    led = root.groupBy("root").agg(F.min("own").alias("lead"))
+    return signed.select("row", "id", "n", "node").join(root.join(led, "root").select("node", "lead"), "node", "left").select("row", "id", "n", "lead")
 
 
 def without_near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with the smallest id. Rows with a null id go by node."""
-    gone = written(_judged(docs, key, text).filter(~F.col("kept")).select("id", F.when(F.col("id").isNull(), F.col("node")).alias("node")).distinct(), "gone")
-    ids = gone.filter("id IS NOT NULL").select(F.col("id").alias("__gone"))
-    nodes = gone.filter("id IS NULL").select(F.col("node").alias("__gone"))
-    told = docs.filter(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("__gone"), "left_anti")
-    bare = docs.filter(F.col(key).isNull())
-    schema = StructType([*bare.schema.fields, StructField("__node", LongType())])
-    signed = bare.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).mapInArrow(_with_node, schema)
-    return told.unionByName(signed.join(nodes, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns))
+    """One row of ``docs`` of each component: that of the smallest id; of rows that repeat id and text, that of the smallest values."""
+    judged = written(_judged(docs, key, text), "judged")
+    gone = judged.filter((F.col("n") > 0) & (F.col("row") != F.col("lead.row"))).select(F.col("row").alias("__row"), F.col("id").alias("__id")).distinct()
+    own = _row_key(F.col(key), F.col(text))
+    stay = docs.join(gone, (own == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    again = written(judged.filter((F.col("n") > 0) & (F.col("row") == F.col("lead.row"))).groupBy("row").count().filter("count > 1").select(F.col("row").alias("__row")), "again")
+    if again.isEmpty():
+        return stay
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    whole = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    few = stay.join(again, own == F.col("__row"), "left_semi").groupBy(own.alias("__row")).agg(F.min_by(whole, F.to_json(whole)).alias("x")).select("x.*").toDF(*docs.columns)
+    return stay.join(again, own == F.col("__row"), "left_anti").unionByName(few)

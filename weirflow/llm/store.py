@@ -13,8 +13,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch; whole texts travel in them, so fewer than Spark's 10,000.
+#: Rows and bytes in one Arrow batch; whole texts travel in them, so fewer than Spark's 10,000 rows.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 #: While a list is here, the paths of new tables are noted in it.
@@ -62,3 +63,4 @@ def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
