@@ -94,7 +94,7 @@ d AS (
   SELECT *, array_to_string(list_transform(range(0, 32), lambda k:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest
   FROM p),
-g AS (SELECT hex, min(page_id) AS first FROM d GROUP BY hex)
+g AS (SELECT hex, max(page_id) AS first FROM d GROUP BY hex)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to

@@ -7,11 +7,11 @@ a WARC record, so any store that Spark reaches can hold them. Reading parses
 each gzip file as a stream by ``Content-Length``, groups records by the
 identifier they are concurrent to, and emits one nested row per capture.
 
-Of captures with equal payloads of at least ``least`` bytes, that of the smallest id
+Of captures with equal payloads of at least ``least`` bytes, that of the largest id
 (then URL) is the response; the others are revisits that refer to it.
 
 Defined results: a null payload is empty; a null URL leaves its header out;
-null ids come last and are null again on reading; rows that repeat id, URL and
+null ids and URLs rank below all others and are null again on reading; rows that repeat id, URL and
 payload are captures of their own, each with the record type of the first; an
 empty table gives an empty result; further columns are left out.
 """
@@ -85,8 +85,8 @@ def write_archives(pages: DataFrame, path: str, key="page_id", url="url", payloa
     """Write one capture per row of ``pages`` as gzip WARC files in the folder ``path``."""
     small_batches(pages.sparkSession)
     base = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    ranked = F.struct(F.col("page").isNull().alias("last"), "page", F.coalesce("url", F.lit("")).alias("order"), "url")
-    groups = base.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min(ranked).alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+    ranked = F.struct("page", "url")
+    groups = base.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max(ranked).alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
     groups = written(groups, "payloads")
     about = groups.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.count_if(F.col("n") > 1).alias("shared")).first()
     owners = groups.filter("n > 1").select(F.col("digest").alias("of"), "first")
