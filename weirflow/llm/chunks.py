@@ -6,12 +6,13 @@ insertion. Where a text repeats itself within that reach, equal hashes cut it in
 Cuts are at least ``LEAST`` bytes apart and rarely more than four times that, so that
 a passage of 50 words in other surroundings holds whole chunks; a chunk longer than ``MOST`` is cut
 at every ``MOST`` bytes of itself. Chunks
-are deduplicated by a 128-bit digest: the document of the smallest id keeps a
-chunk, and inside one document its first occurrence.
+are deduplicated by a 128-bit digest: the row of the smallest id keeps a
+chunk, and inside one row its first occurrence.
 
-Defined results: null and empty texts have no chunks; rows of equal id count as one
-document and keep what that document keeps; rows with a null id keep everything of
-which no row with an id has a copy; an empty table gives an empty result; further
+Defined results: null and empty texts have no chunks; every row is a document of its
+own, told apart by its id and a hash of its text, and what is removed from one is held by another: rows of one id rank by that hash, rows
+with a null id come after all others and rank by it too; rows that repeat id and text keep
+the same; an empty table gives an empty result; further
 columns are left out.
 """
 
@@ -21,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -95,7 +96,7 @@ def cut_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, np.append(first[1:], len(data))
 
 
-_CHUNKED = "id long, n_bytes long, n_chunks long, repeats array<struct<start:int,size:int>>, high array<long>, low array<long>, start array<int>, size array<int>"
+_CHUNKED = "id long, row long, n_bytes long, n_chunks long, repeats array<struct<start:int,size:int>>, high array<long>, low array<long>, start array<int>, size array<int>"
 
 
 def _lists(values: np.ndarray, counts: list[int], kind) -> pa.Array:
@@ -104,7 +105,7 @@ def _lists(values: np.ndarray, counts: list[int], kind) -> pa.Array:
 
 def _chunk(batches):
     for batch in batches:
-        data, offs = kernel.as_bytes(batch.column(1))
+        data, offs = kernel.as_bytes(batch.column(2))
         n, again, digests, starts, sizes, counts = [], [], [], [], [], []
         for _, _, raw, at in kernel.blocks(data, offs):
             start, end = cut_points(raw, at)
@@ -128,20 +129,37 @@ def _chunk(batches):
                 counts.append(len(seen))
         pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offs), pa.int64()), pa.array(n, pa.int64()), pa.array(again, pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))), _lists(pairs[:, 0].copy(), counts, pa.int64()), _lists(pairs[:, 1].copy(), counts, pa.int64()), _lists(np.array(starts, np.int32), counts, pa.int32()), _lists(np.array(sizes, np.int32), counts, pa.int32())],
-            ["id", "n_bytes", "n_chunks", "repeats", "high", "low", "start", "size"],
+            [batch.column(0), batch.column(1), pa.array(np.diff(offs), pa.int64()), pa.array(n, pa.int64()), pa.array(again, pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))), _lists(pairs[:, 0].copy(), counts, pa.int64()), _lists(pairs[:, 1].copy(), counts, pa.int64()), _lists(np.array(starts, np.int32), counts, pa.int32()), _lists(np.array(sizes, np.int32), counts, pa.int32())],
+            ["id", "row", "n_bytes", "n_chunks", "repeats", "high", "low", "start", "size"],
         )
 
 
+LAST = 2**63 - 1
+
+
+def row_key(key: Column, text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(key.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def repeated_chunks(docs: DataFrame, key="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
-    """The chunked documents, and (id, start, size) of the chunks that a document of smaller id has too."""
+    """The chunked documents, and (id, row, start, size) of the chunks that a row before has too; null ids are ``LAST``."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col(key).cast("long").alias("id"), row_key(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chunked = written(base.mapInArrow(_chunk, _CHUNKED), "chunked")
-    rows = chunked.select(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.explode(F.arrays_zip("high", "low", "start", "size")).alias("c")).select("id", "c.high", "c.low", "c.start", "c.size")
+    each = F.explode(F.arrays_zip("high", "low", "start", "size")).alias("c")
+    rows = chunked.select(F.coalesce("id", F.lit(LAST)).alias("id"), "row", each).select("id", "row", "c.high", "c.low", "c.start", "c.size")
     # A chunk that a third of all documents share is one row of each task here.
     owners = rows.groupBy("high", "low").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner <> last").select("high", "low", "owner")
-    return chunked, rows.join(owners, ["high", "low"]).filter("id > owner").select("id", "start", "size")
+    repeated = rows.join(owners, ["high", "low"]).filter("id > owner").select("id", "row", "start", "size")
+    # Ids of several texts: there the smallest row key goes first.
+    several = chunked.groupBy(F.coalesce("id", F.lit(LAST)).alias("id")).agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b").select("id")
+    several = written(several, "several")
+    if not several.isEmpty():
+        tied = rows.join(several, "id", "left_semi")
+        first = tied.groupBy("high", "low", "id").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b").drop("b")
+        repeated = repeated.unionByName(tied.join(first, ["high", "low", "id"]).filter("row > a").select("id", "row", "start", "size"))
+    return chunked, repeated
 
 
 def substring_dedup(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
@@ -149,13 +167,18 @@ def substring_dedup(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
 
     n_repeated counts the removed chunks, n_removed their bytes.
     """
+    return _removed(docs, key, text).select(F.col("id").alias(key), "n_bytes", "n_chunks", "n_repeated", "n_removed", "spans")
+
+
+def _removed(docs: DataFrame, key: str, text: str) -> DataFrame:
     chunked, repeated = repeated_chunks(docs, key, text)
-    gone = repeated.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnRenamed("id", "of")
+    # A row's chunks at most, however many rows repeat it.
+    gone = repeated.distinct().groupBy("id", "row").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnsRenamed({"id": "of", "row": "of_row"})
     kind = "array<struct<start:int,size:int>>"
-    joined = chunked.join(gone, F.coalesce("id", F.lit(2**63 - 1)) == F.col("of"), "left")
-    spans = F.array_sort(F.concat("repeats", F.filter(F.coalesce("spans", F.array().cast(kind)), lambda s: F.arrays_overlap(F.array(s["start"]), F.col("start")))))
+    joined = chunked.join(gone, (F.col("row") == F.col("of_row")) & (F.coalesce("id", F.lit(LAST)) == F.col("of")), "left")
+    spans = F.array_sort(F.concat("repeats", F.coalesce("spans", F.array().cast(kind))))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["size"])
-    return joined.select("id", "n_bytes", "n_chunks", spans.alias("spans")).select(F.col("id").alias(key), "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeated"), total.alias("n_removed"), "spans")
+    return joined.select("id", "row", "n_bytes", "n_chunks", spans.alias("spans")).select("id", "row", "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeated"), total.alias("n_removed"), "spans")
 
 
 def _cut(batches):
@@ -172,6 +195,7 @@ def _cut(batches):
 
 def deduplicated_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(key, text) without the removed chunks; half a character at a cut is left out too."""
-    spans = substring_dedup(docs, key, text).select(F.col(key).alias("id"), "spans").dropDuplicates(["id"])
-    base = docs.select(F.col(key).cast("long").alias("own"), F.col(text).cast("string").alias("text"))
-    return base.join(spans, F.col("own").eqNullSafe(F.col("id")), "left").select("own", "text", "spans").mapInArrow(_cut, "id long, text string").withColumnRenamed("id", key)
+    spans = _removed(docs, key, text).select("id", "row", "spans").dropDuplicates(["id", "row"])
+    base = docs.select(F.col(key).cast("long").alias("own"), row_key(F.col(key), F.col(text)).alias("own_row"), F.col(text).cast("string").alias("text"))
+    joined = base.join(spans, (F.col("own_row") == F.col("row")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    return joined.select("own", "text", "spans").mapInArrow(_cut, "id long, text string").withColumnRenamed("id", key)
