@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import small_batches, written
+from .store import scratch, small_batches, written
 
 LEAST, MOST = 24, 1024
 _WINDOW = 16
@@ -171,14 +171,16 @@ def substring_dedup(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
 
 
 def _removed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    chunked, repeated = repeated_chunks(docs, key, text)
-    # A row's chunks at most, however many rows repeat it.
-    gone = repeated.distinct().groupBy("id", "row").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnsRenamed({"id": "of", "row": "of_row"})
-    kind = "array<struct<start:int,size:int>>"
-    joined = chunked.join(gone, (F.col("row") == F.col("of_row")) & (F.coalesce("id", F.lit(LAST)) == F.col("of")), "left")
-    spans = F.array_sort(F.concat("repeats", F.coalesce("spans", F.array().cast(kind))))
-    total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["size"])
-    return joined.select("id", "row", "n_bytes", "n_chunks", spans.alias("spans")).select("id", "row", "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeated"), total.alias("n_removed"), "spans")
+    with scratch(docs.sparkSession):
+        chunked, repeated = repeated_chunks(docs, key, text)
+        # A row's chunks at most, however many rows repeat it.
+        gone = repeated.distinct().groupBy("id", "row").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnsRenamed({"id": "of", "row": "of_row"})
+        kind = "array<struct<start:int,size:int>>"
+        joined = chunked.join(gone, (F.col("row") == F.col("of_row")) & (F.coalesce("id", F.lit(LAST)) == F.col("of")), "left")
+        spans = F.array_sort(F.concat("repeats", F.coalesce("spans", F.array().cast(kind))))
+        total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["size"])
+        told = joined.select("id", "row", "n_bytes", "n_chunks", spans.alias("spans"))
+        return written(told.select("*", F.size("spans").cast("long").alias("n_repeated"), total.alias("n_removed")), "removed", keep=True)
 
 
 def _cut(batches):

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .store import small_batches, written
+from .store import scratch, small_batches, written
 
 WIDTH = 5
 BANDS, ROWS = 48, 4
@@ -220,6 +220,7 @@ def further_links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, links:
     # When a node's turn as hub of a bucket comes: its place in a random order, about.
     turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
     entries = written(entries.join(bounds, "node").join(opens, "node").withColumn("turn", turn), "entries")
+    texts = written(texts.join(entries.select("node").distinct(), "node", "left_semi"), "open-texts")
     low, high = 0, HUBS
     while True:
         live = placed(entries, parts)
@@ -231,7 +232,7 @@ def further_links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, links:
         once = F.array_min(F.array_intersect("x.opens", "y.opens")) == F.col("x.bucket")
         met = hubs.alias("x").join(live.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & later & _allowed("x", "y") & once)
         pairs = written(met.select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")), "rest")
-        more = written(_links(confirm(pairs, texts)), "links")
+        more = pairs if pairs.isEmpty() else written(_links(confirm(pairs, texts)), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = components(links)
@@ -263,27 +264,30 @@ def _named(signed: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(row, id, n, lead) of each row: its key and size, and the id and row key that lead its component, null without shingles."""
-    small_batches(docs.sparkSession)
-    base = docs.select(_row_key(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signed = _named(written(base.mapInArrow(_sign, _SIGNED), "signatures"))
-    ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "bands")).alias("x")
-    nodes = written(signed.filter("n > 0").groupBy("node").agg(ranked).select("node", "x.*"), "nodes")
-    banded = nodes.select(F.explode("bands").alias("bucket"), "node")
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    shared = written(banded.join(hubs, "bucket"), "buckets")
-    stars = written(shared.filter("node <> hub").select("hub", "node").distinct(), "stars")
-    involved = stars.select("hub").union(stars.select("node")).distinct().withColumnRenamed("hub", "node").join(nodes.select("node", "row", "high", "low"), "node")
-    texts = _texts(base.select("row", "text"), involved)
-    links = written(_links(confirm(stars, texts)), "links")
-    parts = components(further_links(shared, nodes, texts, links))
-    root = nodes.select("node", F.struct("no", "id", "row").alias("own")).join(parts, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
-    led = root.groupBy("root").agg(F.min("own").alias("lead"))
-    return signed.select("row", "id", "n", "node").join(root.join(led, "root").select("node", "lead"), "node", "left").select("row", "id", "n", "lead")
+    spark = docs.sparkSession
+    small_batches(spark)
+    with scratch(spark):
+        base = docs.select(_row_key(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+        signed = _named(written(base.mapInArrow(_sign, _SIGNED), "signatures"))
+        ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "bands")).alias("x")
+        nodes = written(signed.filter("n > 0").groupBy("node").agg(ranked).select("node", "x.*"), "nodes")
+        banded = nodes.select(F.explode("bands").alias("bucket"), "node")
+        hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+        shared = written(banded.join(hubs, "bucket"), "buckets")
+        stars = written(shared.filter("node <> hub").select("hub", "node").distinct(), "stars")
+        involved = stars.select("hub").union(stars.select("node")).distinct().withColumnRenamed("hub", "node").join(nodes.select("node", "row", "high", "low"), "node")
+        texts = _texts(base.select("row", "text"), involved)
+        links = written(_links(confirm(stars, texts)), "links")
+        parts = components(further_links(shared, nodes, texts, links))
+        root = nodes.select("node", F.struct("no", "id", "row").alias("own")).join(parts, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+        led = root.groupBy("root").agg(F.min("own").alias("lead"))
+        of = root.join(led, "root").select("node", "lead")
+        return written(signed.select("row", "id", "n", "node").join(of, "node", "left").select("row", "id", "n", "lead"), "judged", keep=True)
 
 
 def without_near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """One row of ``docs`` of each component: that of the smallest id; of rows that repeat id and text, that of the smallest values."""
-    judged = written(_judged(docs, key, text), "judged")
+    judged = _judged(docs, key, text)
     gone = judged.filter((F.col("n") > 0) & (F.col("row") != F.col("lead.row"))).select(F.col("row").alias("__row"), F.col("id").alias("__id")).distinct()
     own = _row_key(F.col(key), F.col(text))
     stay = docs.join(gone, (own == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")

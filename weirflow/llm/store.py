@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,18 +19,20 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-#: While a list is here, the paths of new tables are noted in it.
-_noting: list[list[str]] = []
+#: The working tables of the operators that run now, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
-def noted(paths: list[str]) -> Iterator[None]:
-    """Note in ``paths`` the tables that are written meanwhile."""
-    _noting.append(paths)
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written meanwhile are deleted at the end, but for those written with ``keep``."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        _noting.pop()
+        _open.reset(token)
+        drop(spark, paths)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -49,11 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table", codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; with ``keep`` it outlives the innermost ``scratch``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for paths in _noting:
+    path = new_path(spark, name)
+    for paths in _open.get()[: -1 if keep else None][-1:]:
         paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
