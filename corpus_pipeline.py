@@ -16,58 +16,33 @@ takes no words of; they leave at the mix. An empty table stays empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm import decontam, minhash, mixing, sharding, toxicity
-from weirflow.llm.store import drop, noted, written
-
-#: Working tables of the stage before. Its result is written when the next stage gets it, so they can go then.
-_working: list[str] = []
+from weirflow.llm.store import drop, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stage(f: Callable) -> Callable:
-    """A stage that first deletes the working tables of the one before."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if f.__name__ == "toxicity_stage":
-            _working.clear()  # an earlier run's last result may still be read
-        drop(spark, _working)
-        with noted(_working):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, chain)
 
 
-@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.without_near_duplicates(docs)
 
 
-@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
-@_stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-@_stage
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
@@ -85,9 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table is deleted once the next one's is written; the last input stays, as the result reads it."""
+    docs, before = _table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
-            docs = written(docs, f"stage-{name}")
+            path = new_path(spark, f"stage-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            drop(spark, before)
+            before = [path]
     return docs
