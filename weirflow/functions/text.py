@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 # Markers and patterns that decide results.
 EMPTY_MARKERS = ("", "[deleted]", "[removed]", "nan", "none", "null")
-SYNTHETIC_MARKERS = ("lorem ipsum", "synthetic sample", "test record", "dummy text", "placeholder text")
+SYNTHETIC_MARKERS = ("lorem ipsum", "test data", "sample text", "synthetic data", "placeholder text")
 URL = r"https?://\S+"
-EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}]"
+EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{2764}\\x{FE0F}]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)(?<!\w)(\+?\d[\d\-\s()]{7,}\d)(?!\w)"
 SECRETS = {
@@ -35,10 +35,10 @@ PLACES = (
     (r"(?i)\bi\s+live\s+in\s+iran\b", "IR"),
     (r"(?i)\b(i'?m|i am|as an?)\s+american\b", "US"),
     (r"(?i)\bi\s+live\s+in\s+(the\s+us|the\s+u\.s\.?|america|the\s+united\s+states)\b", "US"),
-    ("من\\s+ایرانی(\u200cام|\\s+هستم)?", "IR"),
-    ("(ساکن|زندگی\\s+می\u200cکنم\\s+در)\\s+ایران", "IR"),
-    ("من\\s+(آمریکایی|امریکایی)(\u200cام|\\s+هستم)?", "US"),
-    ("(ساکن|زندگی\\s+می\u200cکنم\\s+در)\\s+(آمریکا|امریکا)", "US"),
+    ("من\\s+ایرانی(\u200cام|\\s+هستم)?\\b", "IR"),
+    ("(ساکن|زندگی\\s+می\u200cکنم\\s+در)\\s+ایران\\b", "IR"),
+    ("من\\s+(آمریکایی|امریکایی)(\u200cام|\\s+هستم)?\\b", "US"),
+    ("(ساکن|زندگی\\s+می\u200cکنم\\s+در)\\s+(آمریکا|امریکا)\\b", "US"),
     ("أنا\\s+إيراني", "IR"),
     ("أنا\\s+أمريكي", "US"),
 )
@@ -128,7 +128,7 @@ def words(c: Column) -> Column:
 
 def features(c: Column) -> dict[str, Column]:
     """Characters, words, distinct words, lexical diversity and URL count; words are runs of word characters in lower case."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     n, distinct = F.size(found), F.size(F.array_distinct(found))
     return {"n_chars": F.char_length(F.coalesce(c, F.lit(""))), "n_words": n, "n_unique_words": distinct, "lexical_diversity": F.round(F.try_divide(distinct.cast("double"), n), 6), "n_urls": F.regexp_count(F.coalesce(c, F.lit("")), F.lit(URL))}
 
@@ -172,7 +172,8 @@ def place(c: Column) -> Column:
     """The country of the first self-identification, or null."""
     out = F.lit(None).cast("string")
     for pattern, country in reversed(PLACES):
-        out = F.when(c.rlike(pattern), country).otherwise(out)
+        # Unicode classes, so that a word also ends where Persian letters do.
+        out = F.when(c.rlike("(?U)" + pattern), country).otherwise(out)
     return out
 
 

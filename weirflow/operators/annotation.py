@@ -13,7 +13,7 @@ PAYLOAD = "sentiment string, stance string, emotion string, content_type string,
 def parse_payload(answer: Column, enums: dict[str, tuple[str, ...]]) -> tuple[Column, Column]:
     """A model's answer as a struct, and the first thing wrong with it (null if nothing).
 
-    Confidence is a number in 0..1 that is not a boolean; the reason is not blank.
+    Confidence is a JSON number in 0..1, neither a string nor a boolean; the reason is not blank.
     """
     text = strip_fences(answer)
     payload = F.from_json(text, PAYLOAD, {"mode": "PERMISSIVE"})
@@ -22,7 +22,10 @@ def parse_payload(answer: Column, enums: dict[str, tuple[str, ...]]) -> tuple[Co
     for name, allowed in enums.items():
         error = error.when(~F.coalesce(payload[name].isin(*allowed), F.lit(False)), f"invalid_{name}")
     number = payload["confidence"].try_cast("double")
-    error = error.when(number.isNull() | (number < 0) | (number > 1) | payload["confidence"].isin("true", "false"), "invalid_confidence")
+    # The JSON type counts: a quoted number is a string.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.confidence", "variant"))
+    numeric = F.coalesce(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    error = error.when(~numeric | number.isNull() | (number < 0) | (number > 1), "invalid_confidence")
     return payload, error.when(~is_present(payload["reason_code"]), "blank_reason_code")
 
 

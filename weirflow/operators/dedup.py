@@ -7,10 +7,14 @@ can meet, so a cell's key is part of every bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.calendar import OUT
 from weirflow.functions.text import normalized, shingles
+from weirflow.session import shared_dir
 
 LEAST_LENGTH = 10
 PERMS, BANDS = 64, 32
@@ -32,8 +36,10 @@ def near_pairs(records: DataFrame, key: str, text: str, cell: list[str], k: int
 
     Equal shingle sets are one node first, so copies do not multiply pairs.
     """
-    sets = records.select(F.col(key).alias("id"), F.struct(*cell).alias("cell"), F.array_sort(shingles(F.col(text), k)).alias("s")).filter(F.size("s") > 0)
-    nodes = sets.groupBy("cell", F.xxhash64("s").alias("node")).agg(F.min("id").alias("id"), F.first("s").alias("s"))
+    timed = [F.col(c).isNotNull() & (F.col(c).cast("string") != OUT) for c in cell]
+    checked = records.filter(F.char_length(F.coalesce(text, F.lit(""))) >= LEAST_LENGTH).filter(reduce(lambda a, b: a & b, timed))
+    sets = checked.select(F.col(key).alias("id"), F.struct(*cell).alias("cell"), F.array_sort(shingles(F.col(text), k)).alias("s")).filter(F.size("s") > 0)
+    nodes = sets.groupBy("cell", F.xxhash64("s").alias("node")).agg(F.min("id").alias("id"), F.min("s").alias("s"))
     # Shingles are hashed once; the permutations are aggregates over the exploded hashes, in generated code.
     hashes = nodes.select("cell", "id", F.explode("s").alias("x")).select("cell", "id", F.xxhash64("x").alias("x"))
     least = hashes.groupBy("cell", "id").agg(F.count("*").alias("n"), *[F.min(F.xxhash64("x", F.lit(j))).alias(f"m{j}") for j in range(PERMS)])
@@ -52,37 +58,42 @@ def near_pairs(records: DataFrame, key: str, text: str, cell: list[str], k: int
     return near.unionByName(same.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-def clusters(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, cluster): the smallest id each id of ``pairs`` reaches. Rounds are written to the checkpoint folder."""
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(id, cluster): the smallest id each id of ``pairs`` reaches, however many rounds that takes. Rounds are written to the checkpoint folder."""
     both = _checkpointed(pairs.select("a", "b"))
     both = both.union(both.select("b", "a")).distinct()
     label = both.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("heard"))
         near = label.join(heard, F.col("id") == F.col("a")).select("id", F.least("cluster", "heard").alias("to"), F.col("cluster").alias("was"))
         # Then each label takes its own label's: paths halve every round.
         root = near.select(F.col("id").alias("r"), F.col("to").alias("up"))
         moved = _checkpointed(near.join(root, F.col("to") == F.col("r")).select("id", F.least("to", "up").alias("cluster"), "was"))
         label = moved.select("id", "cluster")
-        if not moved.filter("cluster <> was").limit(1).count():
-            break
-    return label
+        if moved.filter("cluster <> was").isEmpty():
+            return label
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    import tempfile
-
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirflow-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def near_clusters(records: DataFrame, key: str = "record_id", text: str = "text", cell: tuple[str, ...] = ("platform", "week_no"), threshold: float = THRESHOLD) -> DataFrame:
-    """Each record with near_duplicate_cluster_id (the cluster's smallest id) and is_near_duplicate."""
+    """Each record with near_duplicate_cluster_id and is_near_duplicate.
+
+    A cluster is named nd_{cell}_{number}: clusters of a cell are numbered from 001 in the order of
+    their smallest ids. Texts under ten characters and records without a cell, or out of the calendar, are in none.
+    """
     found = clusters(near_pairs(records, key, text, list(cell), threshold=threshold))
-    out = records.select(key, *cell).join(found.withColumnRenamed("id", key), key, "left")
-    return out.select(key, *cell, F.col("cluster").alias("near_duplicate_cluster_id"), F.col("cluster").isNotNull().alias("is_near_duplicate"))
+    of = records.select(key, *cell)
+    first = found.filter("id = cluster").join(of, F.col("id") == F.col(key)).select("cluster", *cell)
+    number = F.format_string("%03d", F.row_number().over(Window.partitionBy(*cell).orderBy("cluster")))
+    named = first.select(F.col("cluster").alias("__cluster"), F.concat_ws("_", F.lit("nd"), *[F.col(c).cast("string") for c in cell], number).alias("near_duplicate_cluster_id"))
+    joined = of.join(found.join(named, F.col("cluster") == F.col("__cluster")).select(F.col("id").alias(key), "near_duplicate_cluster_id"), key, "left")
+    return joined.withColumn("is_near_duplicate", F.col("near_duplicate_cluster_id").isNotNull())
 
 
 def near_statistics(clustered: DataFrame, cell: tuple[str, ...] = ("platform", "week_no")) -> DataFrame:

@@ -18,7 +18,8 @@ from weirflow.functions.text import is_empty_text, is_present, is_synthetic, is_
 
 TARGETS = ("opinion_main", "opinion_limited", "opinion_untimed", "context_only", "audit_only", "quarantine")
 VALID_PLATFORMS = ("x", "reddit", "youtube")
-CONTENT_TYPES = ("comment", "reply", "original_post", "quote", "repost", "video_context", "deleted_or_unavailable")
+# The content types that are known.
+CONTENT_TYPES = ("original_post", "comment", "reply", "quote", "repost", "video_context", "deleted_or_unavailable", "unknown")
 #: Kinds that need no text of their own, on any platform.
 TEXTLESS = ("video_context", "repost")
 
@@ -32,14 +33,20 @@ def _first(rules: list[tuple[Column, Column]], default: Column) -> Column:
 
 
 def keep_earliest(records: DataFrame) -> DataFrame:
-    """Adds is_duplicate_id and the merged query ids: within platform and id the earliest collected row stays."""
-    has_id = is_present(F.col("platform_content_id"))
-    key = F.when(has_id, F.concat(F.lower("platform"), F.lit("::"), "platform_content_id")).otherwise(F.concat(F.lit("uid::"), F.coalesce("record_uid", F.lit(""))))
-    keyed = records.withColumn("__key", key)
+    """Adds is_duplicate_id and the merged query ids: within platform and id the earliest collected row stays.
+
+    A row without any id is a key of its own, so such rows do not meet in one task. Query ids
+    are merged by an aggregation beside the window, on the same key and so the same shuffle.
+    """
+    has_id, has_uid = is_present(F.col("platform_content_id")), is_present(F.col("record_uid"))
+    none = F.concat(F.lit("none::"), F.xxhash64("platform", "collected_at", "original_row_number", "matched_query_ids").cast("string"))
+    key = F.when(has_id, F.concat(F.lower("platform"), F.lit("::"), "platform_content_id")).when(has_uid, F.concat(F.lit("uid::"), "record_uid")).otherwise(none)
+    keyed = records.withColumn("__key", F.coalesce(key, none))
     order = Window.partitionBy("__key").orderBy(F.asc_nulls_last("collected_at"), F.asc_nulls_last("original_row_number"), F.asc_nulls_last("record_uid"))
-    whole = Window.partitionBy("__key")
-    merged = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(split_ids(F.col("matched_query_ids"))).over(whole)))), ";")
-    return keyed.withColumn("is_duplicate_id", F.row_number().over(order) > 1).withColumn("merged_query_ids", F.when(F.col("is_duplicate_id"), F.col("matched_query_ids")).otherwise(merged)).drop("__key")
+    ids = keyed.select("__key", F.explode(split_ids(F.col("matched_query_ids"))).alias("q")).groupBy("__key").agg(F.array_join(F.array_sort(F.collect_set("q")), ";").alias("__ids"))
+    numbered = keyed.withColumn("is_duplicate_id", F.row_number().over(order) > 1).join(ids, "__key", "left")
+    merged = F.when(F.col("is_duplicate_id"), F.col("matched_query_ids")).otherwise(F.coalesce("__ids", F.lit("")))
+    return numbered.withColumn("merged_query_ids", merged).drop("__key", "__ids")
 
 
 def decide(records: DataFrame, calendar: ProjectCalendar = PROJECT) -> DataFrame:
@@ -48,7 +55,7 @@ def decide(records: DataFrame, calendar: ProjectCalendar = PROJECT) -> DataFrame
     Needs: platform, platform_content_id, record_uid, created_at, collected_at,
     original_row_number, matched_query_ids, timestamp_origin, content_type,
     content_status, text_raw, provenance_quality, collection_run_id,
-    original_file_name, query_id, source_id.
+    original_file_name, query_id, source_id; original_file_sha256 where there is one.
     """
     c = F.col
     platform, kind, status = normalized(c("platform")), normalized(c("content_type")), F.coalesce(normalized(c("content_status")), F.lit(""))
@@ -60,6 +67,8 @@ def decide(records: DataFrame, calendar: ProjectCalendar = PROJECT) -> DataFrame
     textless = kind.isin(*TEXTLESS) | op_empty
     upstream = F.when(is_present(c("provenance_quality")), normalized(c("provenance_quality"))).otherwise("")
     has_run, has_file = is_present(c("collection_run_id")), is_present(c("original_file_name"))
+    if "original_file_sha256" in records.columns:
+        has_file = has_file | is_present(c("original_file_sha256"))
     linked = has_run & is_present(c("query_id")) & is_present(c("source_id"))
     not_auditable = ~has_run & ~has_file & ~upstream.isin("complete", "partial", "reconstructed")
     quality = _first([(upstream == "complete", F.lit("complete")), (upstream.isin("partial", "reconstructed"), F.lit("partial")), (not_auditable, F.lit("unknown")), (linked, F.lit("complete"))], F.lit("partial"))

@@ -37,6 +37,10 @@ def comment_risk(comments: DataFrame) -> DataFrame:
     return out.withColumn("automation_risk_score", F.round(F.round(F.least(F.lit(1.0), score), 10), 4)).drop("__batch", "__key", "__same")
 
 
+def _ten_thousandths(c: Column) -> Column:
+    return F.round(c * 10_000).cast("long")
+
+
 def user_features(comments: DataFrame) -> DataFrame:
     """Features, score and flag of each author of (author, content_id, post_id, is_reply, ts, text, likes, automation_risk_score)."""
     rows = comments.filter(is_present(F.col("author")))
@@ -64,13 +68,17 @@ def user_features(comments: DataFrame) -> DataFrame:
         F.round(ratio(F.count_if(F.col("__gap") <= BURST_SECONDS), F.count("__gap")), 4).alias("rapid_activity_ratio_60s"),
         hours.alias("active_utc_hours"),
         F.round(hours / 24, 4).alias("hour_coverage_ratio"),
-        F.round(F.avg("automation_risk_score"), 4).alias("mean_comment_level_automation_risk"),
+        # Scores have four places: a mean of whole ten-thousandths rounds alike in any order of the rows.
+        (F.floor((2 * F.sum(_ten_thousandths(F.col("automation_risk_score"))) + F.count("automation_risk_score")) / (2 * F.nullif(F.count("automation_risk_score"), F.lit(0)))) / 10_000).alias("mean_comment_level_automation_risk"),
         F.min("ts").alias("first_activity_utc"),
         F.max("ts").alias("last_activity_utc"),
     )
     c = F.col
-    score = 0.35 * c("exact_duplicate_ratio") + 0.25 * c("rapid_activity_ratio_60s") + 0.15 * c("url_interaction_ratio") + 0.10 * c("hour_coverage_ratio") + 0.15 * F.coalesce("mean_comment_level_automation_risk", F.lit(0.0))
-    return users.withColumn("automation_risk_score_user", F.round(F.round(F.least(F.lit(1.0), score), 10), 4)).withColumn("is_flagged_bot_suspect", F.col("automation_risk_score_user") >= FLAG)
+    parts = {"exact_duplicate_ratio": 35, "rapid_activity_ratio_60s": 25, "url_interaction_ratio": 15, "hour_coverage_ratio": 10, "mean_comment_level_automation_risk": 15}
+    # Weights have two places and parts four, so the score is a whole number of millionths; rounded half up.
+    millionths = sum((w * _ten_thousandths(F.coalesce(c(p), F.lit(0.0))) for p, w in parts.items()), F.lit(0))
+    score = F.floor((F.least(F.lit(1_000_000), millionths) + 50) / 100) / 10_000
+    return users.withColumn("automation_risk_score_user", score).withColumn("is_flagged_bot_suspect", F.col("automation_risk_score_user") >= FLAG)
 
 
 def response_times(comments: DataFrame) -> DataFrame:

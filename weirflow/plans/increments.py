@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from weirflow.operators import risk
+from weirflow.session import shared_dir
 from weirflow.plans.texts import COMMENTS_SQL, comments
 from weirflow.sources.bindings import RECORDS_SQL, records, table
 from weirflow.streaming import incremental
@@ -14,10 +15,18 @@ from weirflow.streaming import incremental
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _run(stream, mode: str):
-    """A stream over what is there now, as a table: memory sink, one trigger."""
+def _run(stream):
+    """A stream over what is there now, as a table in the shared folder: a file sink with a checkpoint, so nothing gathers on the driver."""
+    path = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def _run_counts(stream):
+    """A stream of counts by week and type in full: the memory sink holds one row of each."""
     name = f"s_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
@@ -29,17 +38,17 @@ def _stream(spark, sf_dir):
 
 def _weekly_stream(spark, sf_dir):
     out = incremental.weekly_counts(_stream(spark, sf_dir), "ts", "1 hour", "event_type")
-    return _run(out, "complete").select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "event_type", "n")
+    return _run_counts(out).select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "event_type", "n")
 
 
 def _dedup_stream(spark, sf_dir):
     s = _stream(spark, sf_dir).withColumn("content", F.col("event_id") % 3000)
-    return _run(incremental.new_contents(s, "content", "ts", "60 days"), "append").groupBy("event_type").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_new"))
+    return _run(incremental.new_contents(s, "content", "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_new"))
 
 
 def _burst_stream(spark, sf_dir):
     s = _stream(spark, sf_dir).select("event_id", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("author"), F.expr("timestamp_seconds(1704067200 + (event_id div 4) * 20)").alias("ts"))
-    return _run(incremental.bursts(s, "author", "ts", "event_id"), "append").select("event_id", "author", F.col("burst_size").cast("long").alias("burst_size"))
+    return _run(incremental.bursts(s, "author", "ts", "event_id")).select("event_id", "author", F.col("burst_size").cast("long").alias("burst_size"))
 
 
 BURST_SQL = """WITH e AS (SELECT event_id, 'u' || (user_id % 40) AS author, 1704067200 + (event_id // 4) * 20 AS t FROM events), w AS (SELECT *, list(t) OVER (PARTITION BY author ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM e)

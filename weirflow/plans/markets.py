@@ -9,7 +9,8 @@ from weirflow.operators import annotation, dedup, finance, inference, quality, s
 from weirflow.plans.weekly import BASE
 from weirflow.sources.bindings import ASSETS_SQL, LABEL_AXES, RECORDS_SQL, SENTIMENTS, TEXTS_SQL, assets, records, table, texts
 
-START = "1996-01-01"
+#: The first project day; no order is older.
+START = "1995-01-01"
 NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 A = f"WITH {ASSETS_SQL}"
 CH = f"{A}, k AS (SELECT *, count(*) OVER (PARTITION BY asset_id) AS c, min(value) OVER (PARTITION BY asset_id) AS lo FROM assets WHERE value IS NOT NULL), ch AS (SELECT observation_date, asset_id, value, CASE WHEN c < 3 THEN 'none' WHEN lo > 0 THEN 'log_return' ELSE 'first_difference' END AS transform, CASE WHEN c < 3 THEN NULL WHEN lo > 0 THEN ln(value) - lag(ln(value)) OVER w ELSE value - lag(value) OVER w END AS change FROM k WINDOW w AS (PARTITION BY asset_id ORDER BY observation_date))"
@@ -120,12 +121,12 @@ def _payload(s, d):
     r = records(s, d)
     i = F.col("content_id").cast("long")
     body = F.to_json(F.struct(F.col("sentiment_label").alias("sentiment"), F.when(i % 7 == 0, "maybe").otherwise(F.col("stance_label")).alias("stance"), F.col("emotion_label").alias("emotion"), F.col("content_type_label").alias("content_type"), F.when(i % 11 == 0, F.lit(1.5)).otherwise(F.col("confidence")).alias("confidence"), F.when(i % 13 == 0, " ").otherwise("clear").alias("reason_code")))
-    answer = F.when(i % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 17 == 0, "no json {").otherwise(body)
+    answer = F.when(i % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 17 == 0, "no json {").when(i % 19 == 0, F.regexp_replace(body, r'"confidence":([0-9.]+)', r'"confidence":"$1"')).otherwise(body)
     _, error = annotation.parse_payload(answer, {"sentiment": SENTIMENTS, "stance": LABEL_AXES["stance"][1], "emotion": LABEL_AXES["emotion"][1], "content_type": LABEL_AXES["content_type"][1]})
     return r.select(F.coalesce(error, F.lit("valid")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-PAYLOAD_SQL = f"WITH {RECORDS_SQL}, i AS (SELECT content_id::BIGINT AS i FROM records) SELECT CASE WHEN i % 5 <> 0 AND i % 17 = 0 THEN 'json_parse_failure' WHEN i % 7 = 0 THEN 'invalid_stance' WHEN i % 11 = 0 THEN 'invalid_confidence' WHEN i % 13 = 0 THEN 'blank_reason_code' ELSE 'valid' END AS outcome, count(*) AS n FROM i GROUP BY 1"
+PAYLOAD_SQL = f"WITH {RECORDS_SQL}, i AS (SELECT content_id::BIGINT AS i FROM records) SELECT CASE WHEN i % 5 <> 0 AND i % 17 = 0 THEN 'json_parse_failure' WHEN i % 7 = 0 THEN 'invalid_stance' WHEN i % 11 = 0 OR (i % 5 <> 0 AND i % 19 = 0) THEN 'invalid_confidence' WHEN i % 13 = 0 THEN 'blank_reason_code' ELSE 'valid' END AS outcome, count(*) AS n FROM i GROUP BY 1"
 HASH = "md5('1405:' || {c})"
 
 

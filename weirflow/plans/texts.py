@@ -12,7 +12,7 @@ from weirflow.sources.bindings import _pick, table, texts, TEXTS_SQL
 T = f"WITH {TEXTS_SQL}"
 
 #: Documents with planted special texts, as the funnel's raw rows.
-_TEXT = "CASE WHEN doc_id % 53 = 1 THEN ' [deleted] ' WHEN doc_id % 59 = 1 THEN 'http://a.b/c https://d.e/f' WHEN doc_id % 61 = 1 THEN 'Lorem Ipsum here' WHEN doc_id % 67 = 1 THEN NULL ELSE text END"
+_TEXT = "CASE WHEN doc_id % 53 = 1 THEN ' [deleted] ' WHEN doc_id % 59 = 1 THEN 'http://a.b/c https://d.e/f' WHEN doc_id % 61 = 1 THEN 'Lorem Ipsum here' WHEN doc_id % 71 = 1 THEN 'just some Test Data here' WHEN doc_id % 73 = 1 THEN 'a sample text and synthetic data' WHEN doc_id % 67 = 1 THEN NULL ELSE text END"
 RAW = {
     "platform": "CASE WHEN doc_id % 41 = 2 THEN 'facebook' WHEN doc_id % 7 = 1 THEN ' X ' ELSE " + _pick("doc_id % 3", ("x", "reddit", "youtube")) + " END",
     "platform_content_id": "CASE WHEN doc_id % 17 = 3 THEN NULL ELSE concat('c', cast(doc_id % 900 as string)) END",
@@ -20,12 +20,13 @@ RAW = {
     "original_row_number": "doc_id",
     "matched_query_ids": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('Q', cast(doc_id % 3 as string), ';Q', cast(doc_id % 4 as string)) END",
     "timestamp_origin": "CASE WHEN doc_id % 43 = 4 THEN 'unknown' ELSE 'native' END",
-    "content_type": _pick("doc_id % 9", ("comment", "reply", "original_post", "quote", "repost", "video_context", "deleted_or_unavailable", "comment", "poll")),
+    "content_type": _pick("doc_id % 10", ("comment", "reply", "original_post", "quote", "repost", "video_context", "deleted_or_unavailable", "comment", "poll", "unknown")),
     "content_status": "CASE WHEN doc_id % 47 = 5 THEN 'removed' ELSE 'live' END",
     "text_raw": _TEXT,
     "provenance_quality": "CASE WHEN doc_id % 6 = 0 THEN 'complete' WHEN doc_id % 6 = 1 THEN 'partial' END",
     "collection_run_id": "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'run1' END",
     "original_file_name": "CASE WHEN doc_id % 9 = 3 THEN NULL ELSE 'file1' END",
+    "original_file_sha256": "CASE WHEN doc_id % 18 = 3 THEN 'ab12' END",
     "query_id": "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Q1' END",
     "source_id": "source",
 }
@@ -42,17 +43,17 @@ _STRIP = r"regexp_replace({c}, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
 STRIP = lambda c: _STRIP.format(c=c)
 _EMPTY = f"(text_raw IS NULL OR lower({STRIP('text_raw')}) IN ('', '[deleted]', '[removed]', 'nan', 'none', 'null'))"
 FUNNEL_SQL = f"""WITH {RAW_SQL},
-k AS (SELECT *, CASE WHEN platform_content_id IS NOT NULL THEN lower(platform) || '::' || platform_content_id ELSE 'uid::' || coalesce(record_uid, '') END AS k FROM raw),
+k AS (SELECT *, CASE WHEN platform_content_id IS NOT NULL THEN lower(platform) || '::' || platform_content_id WHEN record_uid IS NOT NULL THEN 'uid::' || record_uid ELSE 'none::' || original_row_number END AS k FROM raw),
 w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY collected_at NULLS LAST, original_row_number NULLS LAST, record_uid NULLS LAST) AS rn,
  array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN matched_query_ids IS NULL THEN []::VARCHAR[] ELSE string_split(matched_query_ids, ';') END) OVER (PARTITION BY k)))), ';') AS merged FROM k),
 f AS (SELECT *, lower({STRIP('platform')}) AS p, {_EMPTY} AS empty, created_at IS NULL OR timestamp_origin = 'unknown' AS untimed, {PROJECT.week_sql('created_at')} AS project_week,
- provenance_quality IS NULL AND collection_run_id IS NULL AND original_file_name IS NULL AS not_auditable,
- CASE WHEN provenance_quality IS NOT NULL THEN provenance_quality WHEN collection_run_id IS NULL AND original_file_name IS NULL THEN 'unknown' WHEN collection_run_id IS NOT NULL AND query_id IS NOT NULL AND source_id IS NOT NULL THEN 'complete' ELSE 'partial' END AS q FROM w),
+ provenance_quality IS NULL AND collection_run_id IS NULL AND original_file_name IS NULL AND original_file_sha256 IS NULL AS not_auditable,
+ CASE WHEN provenance_quality IS NOT NULL THEN provenance_quality WHEN collection_run_id IS NULL AND original_file_name IS NULL AND original_file_sha256 IS NULL THEN 'unknown' WHEN collection_run_id IS NOT NULL AND query_id IS NOT NULL AND source_id IS NOT NULL THEN 'complete' ELSE 'partial' END AS q FROM w),
 d AS (SELECT *, CASE WHEN p NOT IN ('x', 'reddit', 'youtube') THEN 'quarantine|raw_validation|other_documented' WHEN platform_content_id IS NULL AND record_uid IS NULL THEN 'quarantine|raw_validation|missing_content_id'
  WHEN rn > 1 THEN 'quarantine|dedup|duplicate_exact_id' WHEN NOT untimed AND project_week = 'OUT' THEN 'quarantine|date_rule|out_of_window'
  WHEN content_type = 'deleted_or_unavailable' OR content_status IN ('deleted', 'removed') THEN 'audit_only|text|deleted_or_removed' WHEN content_type = 'poll' THEN 'quarantine|text|invalid_content_type'
  WHEN NOT (content_type IN ('video_context', 'repost') OR (p = 'reddit' AND content_type = 'original_post' AND empty)) AND empty THEN 'quarantine|text|empty_text' WHEN not_auditable THEN 'quarantine|provenance|invalid_provenance'
- WHEN contains(lower(coalesce(text_raw, '')), 'lorem ipsum') THEN 'quarantine|topic|synthetic_or_test' WHEN query_id IS NULL AND matched_query_ids IS NULL AND regexp_full_match({STRIP("coalesce(text_raw, '')")}, '(?i)(https?://\\S+\\s*)+') THEN 'quarantine|topic|out_of_scope'
+ WHEN regexp_matches(lower(coalesce(text_raw, '')), 'lorem ipsum|test data|sample text|synthetic data|placeholder text') THEN 'quarantine|topic|synthetic_or_test' WHEN query_id IS NULL AND matched_query_ids IS NULL AND regexp_full_match({STRIP("coalesce(text_raw, '')")}, '(?i)(https?://\\S+\\s*)+') THEN 'quarantine|topic|out_of_scope'
  WHEN content_type = 'video_context' THEN 'context_only|role|' WHEN content_type = 'repost' THEN 'audit_only|role|repost_only' WHEN p = 'reddit' AND content_type = 'original_post' AND empty THEN 'context_only|role|'
  WHEN untimed THEN 'opinion_untimed|role|' WHEN q = 'partial' THEN 'opinion_limited|role|' ELSE 'opinion_main|role|' END AS v FROM f),
 o AS (SELECT *, string_split(v, '|')[1] AS dataset_target, string_split(v, '|')[2] AS stage, nullif(string_split(v, '|')[3], '') AS reason,
@@ -66,12 +67,12 @@ def _texts(f):
 
 
 def _flags(t):
-    x = F.when(F.col("record_id") % 11 == 0, F.lit(" [Removed]\n")).when(F.col("record_id") % 13 == 0, F.lit("https://a.b/c http://d")).when(F.col("record_id") % 17 == 0, F.lit("A Lorem IPSUM")).otherwise(F.col("text"))
+    x = F.when(F.col("record_id") % 11 == 0, F.lit(" [Removed]\n")).when(F.col("record_id") % 13 == 0, F.lit("https://a.b/c http://d")).when(F.col("record_id") % 17 == 0, F.lit("A Lorem IPSUM")).when(F.col("record_id") % 19 == 0, F.lit("just some test data here")).when(F.col("record_id") % 23 == 0, F.lit("Sample TEXT")).when(F.col("record_id") % 29 == 0, F.lit("synthetic data")).when(F.col("record_id") % 31 == 0, F.lit("a placeholder text")).otherwise(F.col("text"))
     return t.select("record_id", text.is_present(x).alias("present"), text.is_empty_text(x).alias("empty"), text.is_synthetic(x).alias("synthetic"), text.is_url_only(x).alias("url_only"))
 
 
-_X = "CASE WHEN record_id % 11 = 0 THEN ' [Removed]\n' WHEN record_id % 13 = 0 THEN 'https://a.b/c http://d' WHEN record_id % 17 = 0 THEN 'A Lorem IPSUM' ELSE text END"
-FLAGS_SQL = f"{T}, x AS (SELECT record_id, {_X} AS x FROM texts) SELECT record_id, coalesce(length({STRIP('x')}) > 0, false) AS present, coalesce(lower({STRIP('x')}) IN ('', '[deleted]', '[removed]', 'nan', 'none', 'null'), true) AS empty, contains(lower(x), 'lorem ipsum') OR contains(lower(x), 'synthetic sample') OR contains(lower(x), 'test record') OR contains(lower(x), 'dummy text') OR contains(lower(x), 'placeholder text') AS synthetic, regexp_full_match({STRIP('x')}, '(?i)(https?://\\S+\\s*)+') AS url_only FROM x"
+_X = "CASE WHEN record_id % 11 = 0 THEN ' [Removed]\n' WHEN record_id % 13 = 0 THEN 'https://a.b/c http://d' WHEN record_id % 17 = 0 THEN 'A Lorem IPSUM' WHEN record_id % 19 = 0 THEN 'just some test data here' WHEN record_id % 23 = 0 THEN 'Sample TEXT' WHEN record_id % 29 = 0 THEN 'synthetic data' WHEN record_id % 31 = 0 THEN 'a placeholder text' ELSE text END"
+FLAGS_SQL = f"{T}, x AS (SELECT record_id, {_X} AS x FROM texts) SELECT record_id, coalesce(length({STRIP('x')}) > 0, false) AS present, coalesce(lower({STRIP('x')}) IN ('', '[deleted]', '[removed]', 'nan', 'none', 'null'), true) AS empty, regexp_matches(lower(x), 'lorem ipsum|test data|sample text|synthetic data|placeholder text') AS synthetic, regexp_full_match({STRIP('x')}, '(?i)(https?://\\S+\\s*)+') AS url_only FROM x"
 
 
 def _normalized(t):
@@ -84,10 +85,10 @@ NORMALIZED_SQL = f"{T} SELECT record_id, md5({_CLEAN}) AS text_md5, length({_CLE
 
 
 def _planted(c="text"):
-    return F.concat(F.lit("See https://t.co/a "), F.when(F.col("record_id") % 5 == 0, F.lit("@user_1 #Tag ☀☀ ")).otherwise(F.lit("")), F.col(c))
+    return F.concat(F.lit("See https://t.co/a "), F.when(F.col("record_id") % 5 == 0, F.lit("@user_1 #Tag ☀☀ \u2764\ufe0f ")).otherwise(F.lit("")), F.col(c))
 
 
-_PLANT = "concat('See https://t.co/a ', CASE WHEN record_id % 5 = 0 THEN '@user_1 #Tag ☀☀ ' ELSE '' END, text)"
+_PLANT = "concat('See https://t.co/a ', CASE WHEN record_id % 5 = 0 THEN '@user_1 #Tag ☀☀ \u2764\ufe0f ' ELSE '' END, text)"
 
 
 def _entities(t):
@@ -100,7 +101,7 @@ def _every(p: str, group: int = 0, distinct: bool = False) -> str:
     return f"md5(coalesce(nullif(array_to_string({found}, ';'), ''), '-'))"
 
 
-ENTITIES_SQL = f"{T}, p AS (SELECT record_id, {_PLANT} AS x FROM texts) SELECT record_id, {_every('https?://[^ \\t\\n\\r\\f\\v]+')} AS urls_extracted, {_every('(^|[^\\p{L}\\p{N}\\p{M}_])(@[A-Za-z0-9_]{1,30})', 2)} AS mentions_extracted, {_every('(^|[^\\p{L}\\p{N}\\p{M}_])(#[^ \\t\\n\\r\\f\\v#]+)', 2)} AS hashtags_extracted, {_every('[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}]', 0, True)} AS emojis_extracted FROM p"
+ENTITIES_SQL = f"{T}, p AS (SELECT record_id, {_PLANT} AS x FROM texts) SELECT record_id, {_every('https?://[^ \\t\\n\\r\\f\\v]+')} AS urls_extracted, {_every('(^|[^\\p{L}\\p{N}\\p{M}_])(@[A-Za-z0-9_]{1,30})', 2)} AS mentions_extracted, {_every('(^|[^\\p{L}\\p{N}\\p{M}_])(#[^ \\t\\n\\r\\f\\v#]+)', 2)} AS hashtags_extracted, {_every('[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{2764}\\x{FE0F}]', 0, True)} AS emojis_extracted FROM p"
 
 
 def _pii(t):
@@ -129,17 +130,17 @@ SELECT record_id, length(text)::INT AS n_chars, len(w)::INT AS n_words, len(list
 
 
 def _language(t):
-    x = F.when(F.col("record_id") % 7 == 0, F.lit("من ایرانی هستم و پیام")).when(F.col("record_id") % 11 == 0, F.lit("سلام")).otherwise(F.col("text"))
+    x = F.when(F.col("record_id") % 7 == 0, F.lit("من ایرانی هستم و پیام")).when(F.col("record_id") % 11 == 0, F.lit("سلام")).when(F.col("record_id") % 13 == 0, F.lit("من ایرانیان را")).when(F.col("record_id") % 17 == 0, F.lit("so I live in America, he said")).otherwise(F.col("text"))
     lang, share = text.ratio_language(x)
     g = text.geo(x, F.when(F.col("record_id") % 3 == 0, "DE"), text.script_language(x))
     return t.select("record_id", text.script_language(x).alias("script_language"), text.script_confidence(x).alias("script_confidence"), lang.alias("ratio_language"), share.alias("ratio_share"), g["geo_method"].alias("geo_method"), g["country_or_region"].alias("country_or_region"))
 
 
-LANGUAGE_SQL = f"""{T}, x AS (SELECT record_id, CASE WHEN record_id % 7 = 0 THEN 'من ایرانی هستم و پیام' WHEN record_id % 11 = 0 THEN 'سلام' ELSE text END AS x FROM texts),
-c AS (SELECT *, len(regexp_extract_all(x, '[\\x{{0600}}-\\x{{06FF}}]')) AS fa, len(regexp_extract_all(x, '[A-Za-z]')) AS en FROM x)
+LANGUAGE_SQL = f"""{T}, x AS (SELECT record_id, CASE WHEN record_id % 7 = 0 THEN 'من ایرانی هستم و پیام' WHEN record_id % 11 = 0 THEN 'سلام' WHEN record_id % 13 = 0 THEN 'من ایرانیان را' WHEN record_id % 17 = 0 THEN 'so I live in America, he said' ELSE text END AS x FROM texts),
+c AS (SELECT *, len(regexp_extract_all(x, '[\\x{{0600}}-\\x{{06FF}}]')) AS fa, len(regexp_extract_all(x, '[A-Za-z]')) AS en, CASE WHEN regexp_matches(x, 'من\\s+ایرانی(\\x{{200C}}ام|\\s+هستم)?([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)') THEN 'IR' WHEN regexp_matches(x, '(?i)\\bi\\s+live\\s+in\\s+(the\\s+us|the\\s+u\\.s\\.?|america|the\\s+united\\s+states)\\b') THEN 'US' END AS said FROM x)
 SELECT record_id, CASE WHEN fa = 0 THEN 'en' WHEN regexp_matches(x, '[پچژگی‌ک]') THEN 'fa' ELSE 'ar' END AS script_language, CASE WHEN length({STRIP('x')}) >= 3 THEN 0.9e0 ELSE 0.5e0 END AS script_confidence,
  CASE WHEN fa > en THEN 'fa' WHEN en > fa THEN 'en' ELSE 'other' END AS ratio_language, CASE WHEN fa + en = 0 THEN 0.0e0 WHEN fa = en THEN 0.5e0 ELSE round(greatest(fa, en) * 1.0e0 / (fa + en), 3) END AS ratio_share,
- CASE WHEN record_id % 7 = 0 THEN 'text_place' WHEN record_id % 3 = 0 THEN 'source_community' ELSE 'language_weak' END AS geo_method, CASE WHEN record_id % 7 = 0 THEN 'IR' WHEN record_id % 3 = 0 THEN 'DE' ELSE 'unknown' END AS country_or_region FROM c"""
+ CASE WHEN said IS NOT NULL THEN 'text_place' WHEN record_id % 3 = 0 THEN 'source_community' ELSE 'language_weak' END AS geo_method, CASE WHEN said IS NOT NULL THEN said WHEN record_id % 3 = 0 THEN 'DE' ELSE 'unknown' END AS country_or_region FROM c"""
 
 
 def _ids(t):
@@ -169,11 +170,12 @@ GROUPS_SQL = f"""{T}, h AS (SELECT *, CASE WHEN length(text) >= 10 THEN substr(s
 SELECT record_id, g.h IS NOT NULL AS duplicate_text_diff_id, 'txt_' || g.h AS duplicate_text_group_id FROM h LEFT JOIN g USING (h)"""
 
 NEAR_SQL = f"""{T.replace('WITH ', 'WITH RECURSIVE ')}, w AS (SELECT *, {_SPLIT} AS s FROM texts),
-s AS (SELECT record_id, platform, week_no, CASE WHEN len(s) >= 3 THEN list_distinct(list_transform(range(1, len(s) - 1), lambda i: array_to_string(list_slice(s, i, i + 2), ' '))) WHEN len(s) > 0 THEN [array_to_string(s, ' ')] ELSE [] END AS s FROM w),
+s AS (SELECT record_id, platform, week_no, CASE WHEN len(s) >= 3 THEN list_distinct(list_transform(range(1, len(s) - 1), lambda i: array_to_string(list_slice(s, i, i + 2), ' '))) WHEN len(s) > 0 THEN [array_to_string(s, ' ')] ELSE [] END AS s FROM w WHERE length(text) >= 10),
 e AS (SELECT record_id, platform, week_no, len(s) AS n, unnest(s) AS x FROM s),
 l AS (SELECT a.record_id AS u, b.record_id AS v FROM e a JOIN e b ON a.x = b.x AND a.platform = b.platform AND a.week_no = b.week_no AND a.record_id <> b.record_id GROUP BY a.record_id, b.record_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
 r AS (SELECT u AS v, u AS c FROM l UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.v), c AS (SELECT v AS record_id, min(c) AS c FROM r GROUP BY v),
-near AS (SELECT record_id, platform, week_no, c AS near_duplicate_cluster_id, c IS NOT NULL AS is_near_duplicate FROM texts LEFT JOIN c USING (record_id))"""
+nm AS (SELECT t.record_id AS c, 'nd_' || platform || '_' || week_no || '_' || lpad(row_number() OVER (PARTITION BY platform, week_no ORDER BY t.record_id)::VARCHAR, 3, '0') AS name FROM texts t WHERE t.record_id IN (SELECT c FROM c)),
+near AS (SELECT record_id, platform, week_no, name AS near_duplicate_cluster_id, c IS NOT NULL AS is_near_duplicate FROM texts LEFT JOIN c USING (record_id) LEFT JOIN nm USING (c))"""
 NEAR_STATS_SQL = f"""{NEAR_SQL}, p AS (SELECT platform, week_no, near_duplicate_cluster_id AS c, count(*) AS n FROM near GROUP BY ALL)
 SELECT platform, week_no, sum(n)::BIGINT AS n_rows, count(c) AS n_clusters, coalesce(sum(n) FILTER (WHERE c IS NOT NULL), 0)::BIGINT AS n_clustered, coalesce(max(n) FILTER (WHERE c IS NOT NULL), 0) AS largest_cluster FROM p GROUP BY platform, week_no"""
 
@@ -210,8 +212,8 @@ _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lam
 USERS_CTE = f"""{RISK_CTE}, u0 AS (SELECT *, t - lag(t) OVER (PARTITION BY author ORDER BY t, content_id) AS gap, CASE WHEN k IS NULL THEN 0 ELSE count(k) OVER (PARTITION BY author, k) END AS mine FROM scored WHERE author IS NOT NULL),
 u1 AS (SELECT author, count(*) AS total_interactions, count(DISTINCT post_id) AS posts_participated, count(*) FILTER (WHERE is_reply) AS replies, round(avg(is_reply::INT), 4) AS reply_ratio, round(avg({_WORDS}), 2) AS mean_word_count, quantile_cont({_WORDS}, 0.5)::DOUBLE AS median_word_count, round(avg(likes), 2) AS mean_like_count,
  round(avg(coalesce(regexp_matches(text, 'https?://\\S+'), false)::INT), 4) AS url_interaction_ratio, round(count(*) FILTER (WHERE mine > 1) * 1.0e0 / count(k), 4) AS exact_duplicate_ratio, round(count(DISTINCT k) * 1.0e0 / count(k), 4) AS unique_text_ratio, quantile_cont(gap, 0.5)::DOUBLE AS median_interarrival_seconds,
- round(coalesce(count(*) FILTER (WHERE gap <= 60) * 1.0e0 / nullif(count(gap), 0), 0), 4) AS rapid_activity_ratio_60s, count(DISTINCT (t % 86400) // 3600) AS active_utc_hours, round(count(DISTINCT (t % 86400) // 3600) / 24.0e0, 4) AS hour_coverage_ratio, round(avg(automation_risk_score), 4) AS mean_comment_level_automation_risk FROM u0 GROUP BY author),
-users AS (SELECT *, round(round(least(1.0e0, 0.35e0 * exact_duplicate_ratio + 0.25e0 * rapid_activity_ratio_60s + 0.15e0 * url_interaction_ratio + 0.10e0 * hour_coverage_ratio + 0.15e0 * mean_comment_level_automation_risk), 10), 4) AS automation_risk_score_user FROM u1)"""
+ round(coalesce(count(*) FILTER (WHERE gap <= 60) * 1.0e0 / nullif(count(gap), 0), 0), 4) AS rapid_activity_ratio_60s, count(DISTINCT (t % 86400) // 3600) AS active_utc_hours, round(count(DISTINCT (t % 86400) // 3600) / 24.0e0, 4) AS hour_coverage_ratio, floor((2 * sum(round(automation_risk_score * 10000)::BIGINT) + count(*)) // (2 * count(*))) / 10000.0e0 AS mean_comment_level_automation_risk FROM u0 GROUP BY author),
+users AS (SELECT *, (least(1000000, 35 * round(exact_duplicate_ratio * 10000)::BIGINT + 25 * round(rapid_activity_ratio_60s * 10000)::BIGINT + 15 * round(url_interaction_ratio * 10000)::BIGINT + 10 * round(hour_coverage_ratio * 10000)::BIGINT + 15 * round(mean_comment_level_automation_risk * 10000)::BIGINT) + 50) // 100 / 10000.0e0 AS automation_risk_score_user FROM u1)"""
 USERS_SQL = f"{USERS_CTE} SELECT *, automation_risk_score_user >= 0.7 AS is_flagged_bot_suspect FROM users"
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from weirflow.calendar import PROJECT
 
 PLATFORMS = ("x", "reddit", "youtube")
+# The label sets of the annotations.
 SENTIMENTS = ("positive", "negative", "neutral", "mixed", "unclear")
-STANCES = ("support", "oppose", "neutral", "unclear", "unrelated")
-EMOTIONS = ("anger", "fear", "hope", "none")
-CONTENT_TYPES = ("personal_opinion", "news_or_report", "spam_or_ad")
+STANCES = ("support", "oppose", "neutral_or_balanced", "unrelated", "unclear")
+EMOTIONS = ("anger", "fear", "sadness", "hope", "joy", "disgust", "surprise", "none_or_unclear")
+CONTENT_TYPES = ("personal_opinion", "news_or_report", "quotation", "satire", "spam", "unclear")
 LANGUAGES = ("fa", "en", "ar", "other")
 LABEL_AXES = {"sentiment": ("sentiment_label", SENTIMENTS), "stance": ("stance_label", STANCES), "emotion": ("emotion_label", EMOTIONS), "content_type": ("content_type_label", CONTENT_TYPES)}
 
@@ -46,8 +47,8 @@ RECORD = {
     "target": "concat('T', cast(event_id % 3 as string))",
     "sentiment_label": "CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative' WHEN 'view' THEN 'neutral' WHEN 'click' THEN 'mixed' ELSE 'unclear' END",
     "stance_label": _pick("(event_id + user_id) % 5", STANCES),
-    "emotion_label": _pick("(event_id + 2 * user_id) % 4", EMOTIONS),
-    "content_type_label": _pick("(event_id + user_id) % 3", CONTENT_TYPES),
+    "emotion_label": _pick("(event_id + 3 * user_id) % 8", EMOTIONS),
+    "content_type_label": _pick("(event_id + user_id) % 6", CONTENT_TYPES),
     "confidence": "(event_id % 100) / 100.0e0",
     "annotation_status": "CASE WHEN event_id % 40 = 10 THEN 'low_confidence' WHEN event_id % 40 = 20 THEN 'json_parse_failure' WHEN event_id % 40 = 30 THEN 'api_failure' WHEN event_id % 40 = 0 THEN 'pending_annotation' ELSE 'ok' END",
 }
@@ -76,10 +77,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*[F.expr(e).alias(c) for c, e in TEXT.items()])
 
 
-#: Daily series: the average order price of each priority is an asset.
-ASSETS_SQL = "assets AS (SELECT cast(o_orderdate as date) AS observation_date, o_orderpriority AS asset_id, avg(o_totalprice) AS value FROM orders WHERE extract(year from o_orderdate) = 1996 AND extract(month from o_orderdate) <= 5 GROUP BY 1, 2)"
+#: Daily series over all orders: the average order price of each priority is an asset.
+ASSETS_SQL = "assets AS (SELECT cast(o_orderdate as date) AS observation_date, o_orderpriority AS asset_id, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2)"
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1996-06-01"))
-    return orders.groupBy(F.to_date("o_orderdate").alias("observation_date"), F.col("o_orderpriority").alias("asset_id")).agg(F.avg("o_totalprice").alias("value"))
+    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("observation_date"), F.col("o_orderpriority").alias("asset_id")).agg(F.avg("o_totalprice").alias("value"))

@@ -40,8 +40,8 @@ def bursts(stream: DataFrame, author: str, ts: str, key: str) -> DataFrame:
         last = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values([ts, key])
         out = []
-        for k, t in zip(rows[key], rows[ts].astype("int64") // 10**3, strict=True):
-            micros = int(t) if abs(t) > 10**14 else int(t) * 1000
+        for k, micros in zip(rows[key], rows[ts].dt.tz_localize(None).astype("datetime64[us]").astype("int64"), strict=True):
+            micros = int(micros)
             near = [x for x in last[-(BURST_ROWS - 1) :] if micros - x <= BURST_SECONDS * 1_000_000]
             out.append((k, name[0], len(near) + 1))
             last = [*last, micros][-(BURST_ROWS - 1) :]
