@@ -52,7 +52,7 @@ BANDS, ROWS = 48, 4
 BINS = BANDS * ROWS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Up to so many nodes with candidates are broadcast to find their texts: 16 bytes each.
+#: Up to so many nodes with candidates are broadcast to find their texts, and so many keys of rows that go: 32 bytes each at most.
 BROADCAST_NODES = 1_000_000
 #: Members of a hub that are confirmed together.
 CHUNK = 64
@@ -289,6 +289,9 @@ def without_near_duplicates(docs: DataFrame, key="doc_id", text="text") -> DataF
     """One row of ``docs`` of each component: that of the smallest id; of rows that repeat id and text, that of the smallest values."""
     judged = _judged(docs, key, text)
     gone = judged.filter((F.col("n") > 0) & (F.col("row") != F.col("lead.row"))).select(F.col("row").alias("__row"), F.col("id").alias("__id")).distinct()
+    gone = written(gone, "gone")
+    # A counted number of keys goes to every executor, so that no text is shuffled; more are joined.
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
     own = _row_key(F.col(key), F.col(text))
     stay = docs.join(gone, (own == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
     again = written(judged.filter((F.col("n") > 0) & (F.col("row") == F.col("lead.row"))).groupBy("row").count().filter("count > 1").select(F.col("row").alias("__row")), "again")
