@@ -525,11 +525,55 @@ def test_template_blocks_inside_articles(spark):
         assert all(got[10 + k] == ["one text", "of two"] for k in range(4)) and got[20] == ["kept here", "0"]
 
 
-def test_trees_merge_in_any_order():
-    trees = [wrapper.fold([wrapper.parse(PAGE.format(body=f"<p>{k}</p>" * k))]) for k in range(4)]
-    a = wrapper.merge(wrapper.merge(trees[0], trees[1]), wrapper.merge(trees[2], trees[3]))
-    b = wrapper.merge(trees[3], wrapper.merge(trees[1], wrapper.merge(trees[2], trees[0])))
-    assert a == b and wrapper.tree_match(trees[1], trees[2]) <= wrapper.tree_match(trees[1], trees[1])
+def random_tree(r, depth=3):
+    inner = [random_tree(r, depth - 1) for _ in range(r.randrange(4))] if depth else []
+    return (r.choice("abc"), inner or [r.choice(["x", "y", "z"])])
+
+
+def tree_html(tree):
+    return f"<div class='{tree[0]}'>" + "".join(c if isinstance(c, str) else tree_html(c) for c in tree[1]) + "</div>"
+
+
+def matching(t, page, i=0, j=0):
+    """Simple tree matching by its recursion, on the same nodes."""
+    if t.key[i] != page.key[j]:
+        return 0
+    a, b = t.kids[i], page.kids[j]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for x in range(1, len(a) + 1):
+        for y in range(1, len(b) + 1):
+            best[x][y] = max(best[x - 1][y], best[x][y - 1], best[x - 1][y - 1] + matching(t, page, a[x - 1], b[y - 1]))
+    return 1 + best[-1][-1]
+
+
+def test_alignment_by_brute_force():
+    r = random.Random(17)
+    for _ in range(150):
+        one, two = (wrapper.Page(wrapper.parse(tree_html(random_tree(r)))) for _ in range(2))
+        t = wrapper.Template(wrapper.template_of(one, frozenset(one.signs())))
+        size, matched = wrapper.align(t, two)
+        assert size == len(matched) == matching(t, two)
+        assert wrapper.align(t, one) == (len(one.key), set(range(len(one.key))))
+
+
+def test_template_decides_and_rules_keep_the_rest(spark):
+    """The template alone takes what carries no telltale class; a constant text out of its place stays; article text of any element stays."""
+    page = "<html><body><article><p>Share this with a friend</p><h1>T{k}</h1><p class='related-work'>Others did {k}</p><div class='search-results'>found {k}</div><p>Area is <math><mi>x</mi></math> units {k}</p>{quote}<div class='z'>Written with love</div></article><article><p>second {k}</p></article></body></html>"
+    rows = [(k, f"http://h/{k}", page.format(k=k, quote="<blockquote><p>Written with love</p></blockquote>" if k == 3 else "")) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in wrapper.extract(pages).collect()}
+    for k in range(6):
+        assert got[k] == [f"T{k}", f"Others did {k}", f"found {k}", f"Area is x units {k}", *["Written with love"] * (k == 3), f"second {k}"]
+    alone = wrapper.main_text(rows[0][2])
+    assert alone.startswith("Share this") and "Written with love" in alone
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 10_000 + "<p>deep {k}</p><p>same words</p>" + "</div>" * 10_000
+    wide = "<main>" + "<p>w{k}</p>" * 5000 + "<p>the end</p></main>"
+    rows = [(k, "http://deep/", deep.replace("{k}", str(k))) for k in range(4)] + [(10 + k, "http://wide/", wide.replace("{k}", str(k))) for k in range(4)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"deep {k}" for k in range(4)) and all(got[10 + k] == "\n\n".join([f"w{k}"] * 5000) for k in range(4))
 
 
 # 10 suffixes

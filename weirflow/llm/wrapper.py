@@ -1,33 +1,29 @@
 """Main-text extraction by wrapper induction.
 
-Pages are parsed to DOM trees. Siblings of one label (tag, class and id with
-digits folded) become one node, and the trees of a host are aligned by simple
-tree matching: on folded children the largest matching pairs equal labels, level by
-level. The merged tree counts the pages that have a node and keeps its text
-while all agree. Nodes with one text on the host's pages are template; slots
-that vary are content. Merging is associative and commutative, so each partition
-merges its own pages and the hosts' trees meet in two levels; no page count
-changes the size of a tree.
-
-Siblings of one label are matched by their texts: a block (label and text) that
-half of the host's pages have is template wherever it stands among its siblings. These are
-counted exactly, beside the trees.
-
-Extraction aligns a page with its host's template. Template blocks are left out, in the
-page's article element (or main) too, and so are elements that say they are something
-else (menus, asides, adverts, forms, comments). Elsewhere template nodes go as well, and
-the container with most of the varying text is the article. An article of which nothing
+Pages are parsed to DOM trees of their block elements, with runs of text as leaves. A run
+(its element's label, that is tag, class and id with digits folded, and its text) that half of a host's pages have is constant;
+runs are counted over all pages of the host, so no order of pages changes a count. The host's
+template is the tree of the page that has most constant runs, pruned to them and the elements
+above them: an ordered tree.
+
+Extraction aligns every page with its host's template by simple tree matching: the largest
+order-preserving matching of children, level by level, by dynamic programming, on stacks of its own, so depth
+is no limit. Constant runs that are matched are template, wherever they stand, in the page's article element (or
+main) too; what varies, and a constant text that stands where the template has none, is content. Elements that say
+they are something else (menus, asides, adverts, forms, comments) go as well, which is for the slots that vary
+and are not the article. Of what is left all article elements (or main ones) are the main text, in page order; on pages
+without, the container that has most of it. An article of which nothing
 varies (a page that its host repeats) is kept by the element rules alone.
 
 Defined results: null or empty pages have an empty text; pages without a host
 are a group of their own under the empty host; repeated rows are extracted one
-by one; an empty table gives an empty result; further columns are left out.
+by one; hosts with fewer than ``LEAST_PAGES`` pages have no template; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
 
 import html as entities
-import pickle
+import json
 import re
 from collections import Counter
 from hashlib import blake2b
@@ -36,18 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import scratch, small_batches, written
 
 #: Up to so many bytes of templates are sent to every executor; more are joined by host.
 BROADCAST_BYTES = 32 << 20
-#: A template node is on so many pages at least, and on half of the host's.
+#: A constant run is on so many pages at least, and on half of the host's.
 LEAST_PAGES = 3
-#: Trees of a host that meet in one group of the first merging level.
-SALT = 64
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object math select button canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template svg iframe select button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("li dd dt td th tr tbody thead tfoot caption option optgroup legend summary body html".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -59,6 +53,11 @@ OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu topbar masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal newsletter subscribe signup login comment comments commentlist respond disqus replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar alert search copyright".split()
 )
 
+#: Words that, beside one of those above, still name no more than a part of it: "related-posts" is not the article, "related-work" may be.
+PARTS = frozenset("box block container wrapper wrap area section list item items link links post posts article articles bar form button buttons top bottom left right inner outer site page global primary secondary slot unit header text title label icon icons image panel row col group body".split())
+#: Elements that a class alone makes something else; a paragraph or heading is what it is.
+HOLDERS = frozenset("div section ul ol table tr td li dl span ins center fieldset details figure header main article body".split())
+
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?]))")
 _REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -75,6 +74,11 @@ class Element:
         self.children: list[Element | str] = []
 
 
+def _says_other(name: str) -> bool:
+    words = _WORD.findall(name)
+    return any(w in OTHER_WORDS for w in words) and all(w in OTHER_WORDS or w in PARTS for w in words)
+
+
 def _element(tag: str, rest: str) -> Element:
     if len(rest) <= 1:
         return Element(tag, tag)
@@ -85,7 +89,7 @@ def _element(tag: str, rest: str) -> Element:
     role = found.get("role", "").lower()
     words = set(_WORD.findall(name))
     hidden = "hidden" in found
-    other = hidden or role in OTHER_ROLES or bool(words & OTHER_WORDS)
+    other = hidden or role in OTHER_ROLES or (tag in HOLDERS and any(map(_says_other, name.split())))
     if role == "main" or found.get("itemprop", "").lower() == "articlebody":
         role = "main"
     return Element(tag, f"{tag}.{_DIGITS.sub('#', name)}" if name else tag, "header" if "header" in words and role == "" else role, other)
@@ -146,245 +150,281 @@ def parse(page: str) -> Element:
     return root
 
 
-def _text_of(node: Element) -> str:
-    return " ".join(entities.unescape("".join(c for c in node.children if isinstance(c, str))).split())
-
-
-# A folded tree is [pages, text, children]: text is a digest, or None once pages or siblings differ.
-
-
-def fold(nodes: list[Element]) -> list:
-    """The folded tree of siblings of one label."""
-    texts = {_text_of(x) for x in nodes}
-    groups: dict[str, list[Element]] = {}
-    for x in nodes:
-        for c in x.children:
-            if isinstance(c, Element):
-                groups.setdefault(c.label, []).append(c)
-    sign = blake2b(texts.pop().encode(), digest_size=8).digest() if len(texts) == 1 else None
-    return [1, sign, {label: fold(group) for label, group in groups.items()}]
-
-
-def tree_match(a: list, b: list) -> int:
-    """Nodes in the largest matching of two folded trees (simple tree matching)."""
-    return 1 + sum(tree_match(child, b[2][label]) for label, child in a[2].items() if label in b[2])
-
-
-def merge(a: list, b: list) -> list:
-    """Two folded trees aligned: matched nodes add their pages, the others are kept as they are."""
-    out = dict(a[2])
-    for label, child in b[2].items():
-        out[label] = merge(out[label], child) if label in out else child
-    return [a[0] + b[0], a[1] if a[1] == b[1] else None, out]
-
-
 def _sign(label: str, text: str) -> int:
     return int.from_bytes(blake2b(f"{label} {text}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _blocks(node: Element, template, pages: int, inside: bool, out: list[str], constants=frozenset(), signs: set[int] | None = None) -> None:
-    """Texts of the blocks below ``node``, in page order, without what is not the article; their signs go to ``signs``."""
-    held: list[str] = []
-    labels = [node.label]
-
-    def flush() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
-        held.clear()
-        if not text:
-            return
-        if constants or signs is not None:
-            sign = _sign(labels[-1], text)
-            if signs is not None:
-                signs.add(sign)
-            if sign in constants:
-                return
-        out.append(text)
-
-    def walk(x: Element, t, inside: bool) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                held.append(c)
-                continue
-            if c.tag in ("br", "hr", "wbr", "img"):
-                held.append(" " if c.tag != "wbr" else "")
-                continue
-            if is_other(c, inside):
-                if c.tag in BLOCK:
-                    flush()
-                continue
-            below = t[2].get(c.label) if t is not None else None
-            # An inline element amid its parent's text is part of that text.
-            if not inside and is_template(c, below, pages) and (c.tag in BLOCK or not _text_of(x)):
-                if c.tag in BLOCK:
-                    flush()
-                continue
-            if c.tag in BLOCK:
-                flush()
-                labels.append(c.label)
-                walk(c, below, inside)
-                flush()
-                labels.pop()
-            else:
-                walk(c, below, inside)
-
-    walk(node, template, inside)
-    flush()
-
-
 def is_other(x: Element, inside: bool) -> bool:
     if x.tag in ("article", "main", "body"):
         return inside and x.other
     return x.tag in OTHER_TAGS or x.other or (not inside and (x.tag == "header" or x.role == "header"))
 
 
-def is_template(x: Element, t, pages: int) -> bool:
-    """Whether the host's pages have one text in this leaf's place."""
-    return t is not None and not t[2] and t[1] is not None and t[0] >= LEAST_PAGES and 2 * t[0] >= pages and bool(_text_of(x))
-
-
-def _find(root: Element, template, want, through_other: bool = False) -> list[tuple[Element, list | None]]:
-    """The outermost elements that ``want`` accepts, with their places in the template."""
-    found, todo = [], [(root, template)]
+class Page:
+    """A page's block elements and runs of text, in page order; parents come before their children.
+
+    ``key`` is an element's label or a run's sign, ``text`` a run's text; ``other`` says that an element around is something else.
+    """
+
+    def __init__(self, root: Element):
+        self.key: list[str | int] = [root.label]
+        self.text: list[str | None] = [None]
+        self.up, self.other, self.kids = [-1], [False], [[]]
+        self.articles: list[int] = []
+        self.mains: list[int] = []
+        held: list[str] = []
+
+        def add(key, text, up: int, other: bool) -> int:
+            k = len(self.key)
+            self.key.append(key)
+            self.text.append(text)
+            self.up.append(up)
+            self.other.append(other)
+            self.kids.append([])
+            self.kids[up].append(k)
+            return k
+
+        def flush(at: int) -> None:
+            text = " ".join(entities.unescape("".join(held)).split())
+            held.clear()
+            if text:
+                add(_sign(self.key[at], text), text, at, self.other[at])
+
+        # What is left of an element, its place, whether it is a block, and whether it is in an article.
+        stack = [(iter(root.children), 0, True, False)]
+        while stack:
+            left, at, block, inside = stack[-1]
+            for c in left:
+                if isinstance(c, str):
+                    held.append(c)
+                elif c.tag in ("br", "hr", "img"):
+                    held.append(" ")
+                elif c.tag in BLOCK:
+                    flush(at)
+                    new = add(c.label, None, at, self.other[at] or is_other(c, inside))
+                    main = c.tag == "main" or c.role == "main"
+                    if c.tag == "article" and not inside and not self.other[new]:
+                        self.articles.append(new)
+                    elif main and not inside and not self.other[new]:
+                        self.mains.append(new)
+                    stack.append((iter(c.children), new, True, inside or c.tag == "article" or main))
+                    break
+                elif not is_other(c, inside):
+                    stack.append((iter(c.children), at, False, inside))
+                    break
+            else:
+                stack.pop()
+                if block:
+                    flush(at)
+
+    def signs(self) -> set[int]:
+        return {k for k, t in zip(self.key, self.text, strict=True) if t is not None}
+
+
+def template_of(page: Page, constants: frozenset[int]) -> list[list]:
+    """The tree of a page pruned to its constant runs, as (depth, key) in page order."""
+    keep = [t is not None and k in constants for k, t in zip(page.key, page.text, strict=True)]
+    depth = [0] * len(keep)
+    for k in range(1, len(keep)):
+        depth[k] = depth[page.up[k]] + 1
+    for k in range(len(keep) - 1, 0, -1):
+        if keep[k]:
+            keep[page.up[k]] = True
+    return [[depth[k], page.key[k]] for k in range(len(keep)) if keep[k]]
+
+
+class Template:
+    """A pruned tree with its children by node."""
+
+    def __init__(self, flat: list[list]):
+        self.key = [key for _, key in flat]
+        self.kids: list[list[int]] = [[] for _ in flat]
+        above: list[int] = []
+        for k, (depth, _) in enumerate(flat):
+            del above[depth:]
+            if above:
+                self.kids[above[-1]].append(k)
+            above.append(k)
+
+
+def _best_children(a: list[int], b: list[int], weight) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest order-preserving matching of two rows of children."""
+    rows = [[0] * (len(b) + 1)]
+    weights = [[weight(x, y) for y in b] for x in a]
+    for w in weights:
+        last, row = rows[-1], [0]
+        for j, v in enumerate(w):
+            row.append(max(last[j + 1], row[j], last[j] + v))
+        rows.append(row)
+    i, j, pairs = len(a), len(b), []
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((a[i], b[j]))
+    return rows[-1][-1], pairs
+
+
+def align(t: Template, page: Page) -> tuple[int, set[int]]:
+    """Simple tree matching: the number of matched nodes, and the page's nodes among them."""
+    if not t.key or t.key[0] != page.key[0]:
+        return 0, set()
+    size: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    todo = [(0, 0, False)]
     while todo:
-        x, t = todo.pop()
-        if want(x):
-            found.append((x, t))
+        i, j, ready = todo.pop()
+        wanted = {t.key[x] for x in t.kids[i]}
+        mine = [y for y in page.kids[j] if page.key[y] in wanted] if wanted else []
+        if not ready:
+            todo.append((i, j, True))
+            todo += [(x, y, False) for x in t.kids[i] if t.kids[x] for y in mine if t.key[x] == page.key[y]]
             continue
-        todo += [(c, t[2].get(c.label) if t is not None else None) for c in reversed(x.children) if isinstance(c, Element) and (through_other or not is_other(c, False))]
-    return found
-
-
-def _length(blocks: list[str]) -> int:
-    return sum(map(len, blocks))
-
-
-#: What holds a page's article by its own word, in order of preference.
-ARTICLES = (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.role == "main")
+        # A pair of runs, or of elements without children in the template, is one node.
+        weight = lambda x, y: size.get((x, y), 1) if t.key[x] == page.key[y] else 0
+        inner, chosen[i, j] = _best_children(t.kids[i], mine, weight) if mine else (0, [])
+        size[i, j] = 1 + inner
+    matched, todo = set(), [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        matched.add(j)
+        todo += chosen.get((i, j), ())
+    return size[0, 0], matched
 
 
-def signs_of(root: Element) -> set[int]:
-    """The signs of the blocks that a page's article is taken from."""
-    signs: set[int] = set()
-    for want in ARTICLES:
-        for x, _ in _find(root, None, want):
-            _blocks(x, None, 0, True, [], signs=signs)
-        if signs:
-            return signs
-    _blocks(root, None, 0, False, [], signs=signs)
-    return signs
+#: What may hold nearly all of an article on pages without an article element.
+_SHARE = 0.6
 
 
-def main_text(page: str, template: list | None = None, constants=frozenset()) -> str:
+def main_text(page: str, template: Template | None = None) -> str:
     """The article of a page; blocks are joined by two line ends."""
     if not page:
         return ""
-    root, pages = parse(page), template[0] if template else 0
-    for want in ARTICLES:
-        found = _find(root, template, want)
-        for known in (constants, frozenset()) if constants else (constants,):
-            best: list[str] = []
-            for x, t in found:
-                blocks: list[str] = []
-                _blocks(x, t, pages, True, blocks, known)
-                if _length(blocks) > _length(best):
-                    best = blocks
-            if best:
-                return "\n\n".join(best)
-    best = []
-    node, t = root, template
+    x = Page(parse(page))
+    matched = align(template, x)[1] if template is not None else set()
+    runs = [k for k, t in enumerate(x.text) if t is not None and not x.other[k]]
+    for roots in (x.articles, x.mains):
+        if roots:
+            within = [False] * len(x.key)
+            for k in roots:
+                within[k] = True
+            for k in range(1, len(within)):
+                within[k] = within[k] or within[x.up[k]]
+            mine = [k for k in runs if within[k]]
+            if mine:
+                return "\n\n".join(x.text[k] for k in ([k for k in mine if k not in matched] or mine))
+    runs = [k for k in runs if k not in matched]
+    length = [0] * len(x.key)
+    for k in runs:
+        length[k] = len(x.text[k])
+    for k in range(len(length) - 1, 0, -1):
+        length[x.up[k]] += length[k]
+    at = 0
     while True:
-        blocks = []
-        _blocks(node, t, pages, False, blocks, constants)
-        inner: tuple[list[str], Element, list | None] | None = None
-        for c in node.children:
-            if isinstance(c, Element) and c.tag in ("body", "div", "section", "td", "table", "tbody", "tr", "center") and not is_other(c, False):
-                below = t[2].get(c.label) if t is not None else None
-                own: list[str] = []
-                _blocks(c, below, pages, False, own, constants)
-                if inner is None or _length(own) > _length(inner[0]):
-                    inner = (own, c, below)
-        best = blocks
-        # One container with nearly all of what varies is the article, or holds it.
-        if inner is None or _length(inner[0]) < 0.6 * _length(blocks) or not inner[0]:
+        best = max((k for k in x.kids[at] if x.text[k] is None), key=length.__getitem__, default=at)
+        # One container with nearly all of what varies is the article, or holds it; a single block is not a container.
+        if best == at or length[best] < _SHARE * length[at] or all(x.text[k] is not None for k in x.kids[best]):
             break
-        node, t = inner[1], inner[2]
-    return "\n\n".join(best)
+        at = best
+    within = [False] * len(x.key)
+    within[at] = True
+    for k in range(at + 1, len(within)):
+        within[k] = within[x.up[k]]
+    return "\n\n".join(x.text[k] for k in runs if within[k])
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
 
 
-_TREES = "host string, salt int, tree binary"
-_INDUCED = "host string, salt int, tree binary, sign long, n long"
 #: Signs that a partition counts before it sends them on.
 HELD_SIGNS = 200_000
 
 
-def _partition_trees(batches):
-    """One merged tree for each host of a partition with its pages, and the pages of each sign; sent on whenever many are held."""
-    trees: dict[str, list] = {}
-    counts: Counter[tuple[str, int]] = Counter()
+def _count_signs(batches):
+    """(host, sign, n): the pages of each run, and under a null sign all pages; sent on whenever many are held."""
+    counts: Counter[tuple[str, int | None]] = Counter()
 
     def send():
-        rows = [(h, hash_salt(raw := pickle.dumps(t)), raw, None, t[0]) for h, t in trees.items()] + [(h, None, None, sign, n) for (h, sign), n in counts.items()]
-        trees.clear()
+        rows = list(counts.items())
         counts.clear()
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], ["host", "salt", "tree", "sign", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([h for (h, _), _ in rows], pa.string()), pa.array([x for (_, x), _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["host", "sign", "n"])
 
     for rows in batches:
         for host, page in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-            root = parse(page)
-            tree = fold([root])
-            trees[host] = merge(trees[host], tree) if host in trees else tree
-            counts.update((host, sign) for sign in signs_of(root))
-        if len(trees) >= 2000 or len(counts) >= HELD_SIGNS:
-            yield send()
+            counts.update((host, sign) for sign in Page(parse(page)).signs())
+            counts[host, None] += 1
+            if len(counts) >= HELD_SIGNS:
+                yield send()
     yield send()
 
 
-def hash_salt(raw: bytes) -> int:
-    return int.from_bytes(blake2b(raw, digest_size=4).digest(), "big") % SALT
+def _seed_trees(known: dict[str, frozenset[int]] | None):
+    """(host, size, tree): of a partition's pages of each host the template with most runs; of as many the first as text."""
+
+    def run(batches):
+        best: dict[str, tuple[int, str]] = {}
+
+        def send():
+            out = [pa.array(list(best), pa.string()), pa.array([n for n, _ in best.values()], pa.int64()), pa.array([x for _, x in best.values()], pa.string())]
+            best.clear()
+            return pa.RecordBatch.from_arrays(out, ["host", "size", "tree"])
+
+        for rows in batches:
+            for k, (host, page) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                constants = known.get(host) if known is not None else frozenset(rows.column(2)[k].as_py())
+                if not constants:
+                    continue
+                x = Page(parse(page))
+                flat = template_of(x, constants)
+                mine = (sum(isinstance(key, int) for _, key in flat), json.dumps(flat))
+                best[host] = max(best.get(host, mine), mine)
+            if sum(len(x) for _, x in best.values()) > BROADCAST_BYTES:
+                yield send()
+        yield send()
 
+    return run
 
-def _meet(pdf):
-    """The trees of one group, merged."""
-    trees = [pickle.loads(x) for x in pdf["tree"]]
-    out = trees[0]
-    for t in trees[1:]:
-        out = merge(out, t)
-    return pdf.iloc[:1].assign(salt=0, tree=[pickle.dumps(out)])
+
+def _is_small(table: DataFrame, size: Column) -> bool:
+    return (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def induce(pages: DataFrame, url="url", html="html") -> DataFrame:
-    """(host, tree, constants): the merged tree of each host's pages and the signs of its template blocks."""
+    """(host, tree): the template of each host that has one."""
     base = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).filter(F.col("html") != "")
-    induced = written(base.mapInArrow(_partition_trees, _INDUCED), "induced")
-    trees = induced.filter("tree IS NOT NULL")
-    first = trees.select("host", "salt", "tree").groupBy("host", "salt").applyInPandas(_meet, _TREES)
-    of = trees.groupBy("host").agg(F.sum("n").alias("pages"))
-    shared = induced.filter("sign IS NOT NULL").groupBy("host", "sign").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    constants = shared.join(of, "host").filter("2 * n >= pages").groupBy("host").agg(F.collect_list("sign").alias("constants"))
-    return first.groupBy("host").applyInPandas(_meet, _TREES).select("host", "tree").join(constants, "host", "left")
+    counted = written(base.mapInArrow(_count_signs, "host string, sign long, n long"), "signs")
+    of = counted.filter("sign IS NULL").groupBy("host").agg(F.sum("n").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    shared = counted.filter("sign IS NOT NULL").groupBy("host", "sign").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    # Runs on half of the pages are twice a page's runs at most, on average.
+    constants = written(shared.join(of, "host").filter("2 * n >= pages").groupBy("host").agg(F.collect_list("sign").alias("constants")), "constants")
+    if _is_small(constants, F.octet_length("host") + 8 * F.array_size("constants")):
+        known = {r.host: frozenset(r.constants) for r in constants.toLocalIterator()}
+        seeds = base.filter(F.lit(bool(known))).mapInArrow(_seed_trees(known), "host string, size long, tree string")
+    else:
+        seeds = base.join(constants, "host").select("host", "html", "constants").mapInArrow(_seed_trees(None), "host string, size long, tree string")
+    return seeds.groupBy("host").agg(F.max(F.struct("size", "tree")).alias("x")).select("host", "x.tree")
 
 
 _OUT = "id long, url string, text string, n_chars long"
 
 
-def _extract(known: dict[str, tuple[bytes, list[int]]] | None):
+def _extract(known: dict[str, str] | None):
     def run(batches):
-        trees: dict[str, tuple] = {}
+        trees: dict[str, Template | None] = {}
         for rows in batches:
             ids, urls, hosts, pages = (rows.column(k) for k in range(4))
             texts = []
             for k, (host, page) in enumerate(zip(hosts.to_pylist(), pages.to_pylist(), strict=True)):
                 if host not in trees:
-                    raw, constants = known.get(host, (None, None)) if known is not None else (rows.column(4)[k].as_py(), rows.column(5)[k].as_py())
+                    raw = known.get(host) if known is not None else rows.column(4)[k].as_py()
                     if len(trees) > 5000:
                         trees.clear()
-                    trees[host] = (pickle.loads(raw) if raw else None, frozenset(constants or ()))
-                texts.append(main_text(page, *trees[host]))
+                    trees[host] = Template(json.loads(raw)) if raw else None
+                texts.append(main_text(page, trees[host]))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     return run
@@ -392,12 +432,13 @@ def _extract(known: dict[str, tuple[bytes, list[int]]] | None):
 
 def extract(pages: DataFrame, key="page_id", url="url", html="html") -> DataFrame:
     """(key, url, text, n_chars) of each page: its main text and that text's code points."""
-    small_batches(pages.sparkSession)
-    templates = written(induce(pages, url, html), "templates")
+    spark = pages.sparkSession
+    small_batches(spark)
+    with scratch(spark):
+        templates = written(induce(pages, url, html), "templates", keep=True)
     base = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    size = F.octet_length("tree") + F.octet_length("host") + 8 * F.coalesce(F.array_size("constants"), F.lit(0))
-    if (templates.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
-        out = base.mapInArrow(_extract({r.host: (bytes(r.tree), r.constants) for r in templates.toLocalIterator()}), _OUT)
+    if _is_small(templates, F.octet_length("tree") + F.octet_length("host")):
+        out = base.mapInArrow(_extract({r.host: r.tree for r in templates.toLocalIterator()}), _OUT)
     else:
-        out = base.join(templates, "host", "left").select("id", "url", "host", "html", "tree", "constants").mapInArrow(_extract(None), _OUT)
+        out = base.join(templates, "host", "left").select("id", "url", "host", "html", "tree").mapInArrow(_extract(None), _OUT)
     return out.select(F.col("id").alias(key), "url", "text", "n_chars")
