@@ -141,8 +141,8 @@ def test_templates_catch_other_numbers_and_names(spark):
     ]
     got = {r.doc_id: r.items for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert {k for k, v in got.items() if v} == {1, 2, 4, 9, 11} and got[2] == [1] and got[4] == [2] and got[9] == [4]
-    small = {r.doc_id: r.items for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, most=10).collect()}
-    assert small == got
+    joined = {r.doc_id: r.items for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, most=0).collect()}
+    assert joined == got
 
 
 def test_dense_items_with_other_numbers(spark, monkeypatch):
@@ -176,6 +176,84 @@ def test_decontamination_edges(spark, docs, none):
     assert leaked and leaked <= got and len(got - leaked) <= 2
 
 
+def brute_tokens(text):
+    """(kind, value) of each token by the docstring's rules, a word at a time."""
+    out, opens, before = [], True, None
+    units = set(decontam.UNITS)
+    for line in (text or "").split("\n"):
+        opens = True
+        for w in line.split():
+            core = "".join(c for c in w if (c.isalnum() and c.isascii()) or ord(c) > 127)
+            if not core:
+                opens = opens or w[-1] in ".!?:"
+                continue
+            low = "".join(c.lower() if c.isascii() else c for c in core)
+            if any(c in "0123456789" for c in core):
+                kind = "number"
+            elif before == "number" and low in units:
+                kind = "unit"
+            elif not opens and ("A" <= core[0] <= "Z") and any("a" <= c <= "z" for c in w):
+                kind = "name"
+            else:
+                kind = "word"
+            if kind == "name" and before == "name":
+                out[-1] = ("name", out[-1][1] + (low,))
+            else:
+                out.append((kind, (low,)))
+            before, opens = kind, w[-1] in ".!?:"
+    return out
+
+
+def brute_leak(text, item):
+    """Whether an item of five tokens or more leaks by its windows, comparing every alignment; placeholders take the value most of their tokens have."""
+    t, q = brute_tokens(text), brute_tokens(item)
+    n = len(q) - 4
+    same = lambda a, b: a[0] == b[0] and (a[0] != "word" or a[1] == b[1])
+    strict, loose = set(), set()
+    for shift in range(-len(q), len(t)):
+        hits = [k for k in range(n) if 0 <= k + shift and k + shift + 5 <= len(t) and all(same(t[k + shift + j], q[k + j]) for j in range(5))]
+        literal = lambda k: sum(q[k + j][0] == "word" for j in range(5))
+        exact = [k for k in hits if literal(k) >= 2 or all(t[k + shift + j][1] == q[k + j][1] for j in range(5))]
+        for mine, into, ok in ((exact, strict, True), (hits, loose, any(literal(k) for k in hits))):
+            votes = defaultdict(Counter)
+            for i in {k + j for k in mine for j in range(5)}:
+                if q[i][0] != "word":
+                    votes[q[i]][t[i + shift][1]] += 1
+            tied = any(len(v) > 1 and len({c for _, c in v.most_common(2)}) == 1 for v in votes.values())
+            if tied:
+                return None  # which value is the smallest is the hash's to say
+            if ok:
+                into |= {k for k in mine if all(q[k + j][0] == "word" or votes[q[k + j]].most_common(1)[0][0] == t[k + j + shift][1] for j in range(5))}
+    words = {k + j for k in loose for j in range(5) if q[k + j][0] == "word"}
+    return len(strict) >= 0.75 * n or (len(loose) >= 0.75 * n and len(words) >= 3)
+
+
+def test_leaks_by_brute_force(spark):
+    r = random.Random(12)
+    nouns, names = ["apples", "pears", "boxes", "trains", "letters"], ["Ann", "Bob", "Carol", "Dave", "Eve"]
+
+    def story(r):
+        a, b = r.sample(names, 2)
+        x, y, u = r.randrange(2, 99), r.randrange(100, 999), r.choice(["kg", "miles", "dollars"])
+        return f"yesterday {a} bought {x} {u} of {r.choice(nouns)} and then {a} gave {y} {r.choice(nouns)} to {b} because {b} had only {x} {u} left over from {r.choice(nouns)}"
+
+    items = [(k, story(random.Random(k))) for k in range(12)] + [(20 + k, " ".join(random.Random(400 + k).choices(WORDS[2:], k=9 + k))) for k in range(6)]
+    rows = []
+    for k in range(120):
+        base = story(random.Random(k % 20)) if k % 3 else items[12 + k % 6][1]
+        words = base.split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = f"changed{'abc'[r.randrange(3)]}"
+        rows.append((k, " ".join([*prose(r.randrange(6), k).split(), *words, "and", "more"])))
+    want = {}
+    for i, t in rows:
+        want[i] = {k: brute_leak(t, x) for k, x in items}
+    got = {x.doc_id: x.items for x in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    known = [(i, k, leak) for i, of in want.items() for k, leak in of.items() if leak is not None]
+    assert sum(leak for *_, leak in known) > 40 and len(known) > 0.9 * sum(map(len, want.values()))
+    assert [(i, k) for i, k, leak in known if leak != (k in got[i])] == []
+
+
 # 4 exact dedup
 
 

@@ -11,28 +11,33 @@ Names are capitalised words inside a sentence, runs of them one name; units are
 words of a fixed list after a number. A window of placeholders alone would match
 anything, so windows with fewer than two literal words match word for word by themselves.
 They match as templates too along an alignment, which begins at any window with a literal word, and
-where the consistent windows of the item's alignments cover ``EVIDENCE`` literal words of it at least. The benchmark's windows are the build side:
-they go to the executors in blocks of ``BLOCK_WINDOWS`` at most, one pass over
-the texts for each block, so their size is bounded whatever the benchmark.
+where the consistent windows of the item's alignments cover ``EVIDENCE`` literal words of it at least. The value
+that a placeholder of an item stands for along an alignment is the one that most of its tokens have there, the smallest of equals, so
+neither end of the item decides for the other.
+
+The windows of the benchmark are a table. The texts' distinct window hashes are joined to it: by broadcast
+while it has a counted ``BROADCAST_WINDOWS`` rows at most, by a shuffle beyond, in one pass over the texts either way. Pairs of a
+text and an item that share as many windows as a leak needs are candidates; only these have their tokens
+compared, a text's items dealt in chunks of ``CHUNK``. Nothing but the lengths of short items comes to the driver.
 
 Defined results: null and empty texts hold nothing; items without words leak
 nowhere; an item of fewer than five tokens leaks into texts whose whole
 template it is and, from ``SHORT`` words on, into texts that hold its very words in a row (one or two
-words in a row mean nothing in a longer text); repeated items count once; an empty benchmark leaves every text
-clean; repeated rows are judged one by one; further columns are left out.
+words in a row mean nothing in a longer text); repeated items count once, and items of a null id leak without a name; an empty benchmark leaves every text
+clean; repeated rows have one verdict, that of their text; further columns are left out.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import small_batches
+from .store import scratch, small_batches, written
 
 WIDTH = 5
 LEAST = 0.75
@@ -44,8 +49,10 @@ EVIDENCE = 3
 SHORT = 3
 #: Windows of alignments that are compared at once.
 COMPARED = 1 << 20
-#: Windows of the benchmark that executors hold at once: 24 bytes each, and 16 a token.
-BLOCK_WINDOWS = 1 << 20
+#: Up to so many windows of the benchmark, and so many candidate texts, are broadcast: 40 bytes each.
+BROADCAST_WINDOWS = 1 << 20
+#: Items that are compared with one text together.
+CHUNK = 64
 
 # Unit words that follow a number.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles g kg mg lb lbs oz ounce ounces pound pounds ton tons tonne tonnes l ml cl liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp hz khz mhz ghz kb mb gb tb w kw kwh v a degree degrees kelvin celsius fahrenheit mph kmh".split()
@@ -177,21 +184,14 @@ class Benchmark:
                     self.plain[n][int(_run_hash(value[bounds[k] : bounds[k + 1]], n)[0])].append(k)
 
     def consistent(self, hits: list[tuple[int, int]], kind: np.ndarray, value: np.ndarray) -> set[int]:
-        """Of one alignment's hits (text token, item token) those whose placeholders agree with the ones before."""
-        stands: dict[tuple[int, int], int] = {}
-        good = set()
-        for p, q in hits:
-            new = {}
-            for j in range(WIDTH):
-                if self.kind[q + j] != LITERAL:
-                    slot, mine = (int(self.kind[q + j]), int(self.value[q + j])), int(value[p + j])
-                    if stands.get(slot, new.get(slot, mine)) != mine:
-                        break
-                    new[slot] = mine
-            else:
-                stands |= new
-                good.add(q)
-        return good
+        """Of one alignment's hits (text token, item token) those whose placeholders all have the value that most tokens of theirs have."""
+        tokens = {q + j: p + j for p, q in hits for j in range(WIDTH) if self.kind[q + j] != LITERAL}
+        slot = {q: (int(self.kind[q]), int(self.value[q])) for q in tokens}
+        votes: dict[tuple[int, int], Counter[int]] = defaultdict(Counter)
+        for q, p in tokens.items():
+            votes[slot[q]][int(value[p])] += 1
+        stands = {x: min(n, key=lambda v, n=n: (-n[v], v)) for x, n in votes.items()}
+        return {q for _, q in hits if all(q + j not in tokens or int(value[tokens[q + j]]) == stands[slot[q + j]] for j in range(WIDTH))}
 
     def alignments(self, token: np.ndarray, text: np.ndarray) -> dict[tuple[int, int], list[list[tuple[int, int]]]]:
         """For each text and item, with enough of them for a closer look, the hits of each alignment by template alone."""
@@ -285,56 +285,136 @@ class Benchmark:
         return out
 
 
-def _scan(bench: Benchmark):
+#: Kinds of hashes: a window's key, a window's template where an alignment may begin, a short text's whole template, words in a row.
+KEY, BEGIN, WHOLE, ROW = range(4)
+
+
+def _kind(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return kernel.mix(hashes ^ kernel.MULTIPLIERS[44 + kind])
+
+
+def _item_windows(batches):
+    """(h, item, need, width): the hashes that find an item, and how many of its kind a text must have; width tells rows of words."""
+    for batch in batches:
+        h, item, need, width = [], [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bench = Benchmark([(None, text)])
+            n = int(bench.windows[0])
+            found = [(_kind(bench.hashes, KEY), int(np.ceil(LEAST * n)), 0)] if n else []
+            if len(bench.begin):
+                # Of n windows, b of which may begin an alignment, a leak misses a quarter of n at most.
+                found.append((_kind(bench.begin_hashes, BEGIN), max(1, int(np.ceil(len(bench.begin) - (1 - LEAST) * n))), -1))
+            found += [(_kind(np.array([x], np.uint64), WHOLE), 1, 0) for x in bench.short]
+            found += [(_kind(np.array([x], np.uint64), ROW), 1, w) for w, known in bench.plain.items() for x in known]
+            for hashes, least, w in found:
+                h.append(hashes.view(np.int64))
+                item += [key] * len(hashes)
+                need += [least] * len(hashes)
+                width += [w] * len(hashes)
+        flat = np.concatenate(h) if h else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(item, pa.int64()), pa.array(need, pa.int64()), pa.array(width, pa.int32())], ["h", "item", "need", "width"])
+
+
+def _text_windows(widths: list[int], begins: bool):
+    """(k1, k2, hashes): the distinct hashes of each text by which items are found."""
+
     def run(batches):
         for batch in batches:
-            data, offs = kernel.as_bytes(batch.column(batch.num_columns - 1))
-            items: list[list[int]] = []
-            best: list[float] = []
+            data, offs = kernel.as_bytes(batch.column(2))
             for first, end, raw, at in kernel.blocks(data, offs):
-                found = bench.leaks(raw, at)
-                for t in range(end - first):
-                    mine = found.get(t, {})
-                    items.append(sorted({bench.ids[i] for i in mine if bench.ids[i] is not None}))
-                    best.append(max(mine.values(), default=0.0))
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*batch.schema.names[:-1], "items", "share"])
+                token, kind, value, text = templates(raw, at)
+                bounds = np.searchsorted(text, np.arange(len(at)))
+                keys = window_keys(token, kind, value)
+                parts = [(text[: len(keys)], _kind(keys, KEY), text[: len(keys)] == text[WIDTH - 1 :])] if len(keys) else []
+                if begins and len(keys):
+                    parts.append((text[: len(keys)], _kind(kernel.window_hash(token, WIDTH), BEGIN), text[: len(keys)] == text[WIDTH - 1 :]))
+                few = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < WIDTH))
+                for t in few.tolist():
+                    a, b = int(bounds[t]), int(bounds[t + 1])
+                    parts.append((np.array([t]), _kind(window_keys(token[a:b], kind[a:b], value[a:b], b - a), WHOLE), np.ones(1, bool)))
+                if widths:
+                    words, of = plain_words(raw, at)
+                    for w in widths:
+                        runs = _run_hash(words, w)
+                        if len(runs):
+                            parts.append((of[: len(runs)], _kind(runs, ROW), of[: len(runs)] == of[w - 1 :]))
+                of = np.concatenate([t[ok] for t, _, ok in parts]) if parts else np.zeros(0, np.int64)
+                h = np.concatenate([x[ok] for _, x, ok in parts]) if parts else np.zeros(0, np.uint64)
+                order = np.lexsort((h, of))
+                of, h = of[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+                of, h = of[new], h[new]
+                marks = np.searchsorted(of, np.arange(end - first + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(h.view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), lists], ["k1", "k2", "hashes"])
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, key="item_id", text="text", most: int = BLOCK_WINDOWS):
-    """The items in blocks of about ``most`` windows; a window takes a byte of text at least."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).dropDuplicates().orderBy(key, text).toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1] or "") // 4 + 1
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text="text", item_key="item_id", item_text="text", most: int = BLOCK_WINDOWS) -> DataFrame:
-    """The ``keep`` columns, items (ids that leak, sorted), share (the largest share of an item's windows) and contaminated.
-
-    Several blocks of items are scanned one after the other, each adding to the rows of the one before.
-    """
-    small_batches(docs.sparkSession)
-    names = [f"k{k}" for k in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("share"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    for block in item_blocks(benchmark, item_key, item_text, most):
-        fields = [f for f in rows.schema.fields if f.name not in ("items", "share", "text")]
-        carried = rows.select(*[f.name for f in fields], F.col("items").alias("items0"), F.col("share").alias("share0"), F.col("text").alias("text0"), "text")
-        schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in carried.schema.fields[:-1]) + "items array<bigint>, share double"
-        scanned = carried.mapInArrow(_scan(Benchmark(block)), schema)
-        rows = scanned.select(*names, F.array_sort(F.array_union("items0", "items")).alias("items"), F.greatest("share0", "share").alias("share"), F.col("text0").alias("text"))
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "items", "share", (F.col("share") > 0).alias("contaminated"))
+def _compare(batches):
+    """(k1, k2, ids, share) of rows (k1, k2, text, items as (id, text)): the items that leak."""
+    for batch in batches:
+        out = []
+        for k1, k2, text, items in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            bench = Benchmark([(x["id"], x["text"]) for x in items])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            mine = bench.leaks(raw, np.array([0, len(raw)], np.int64)).get(0, {})
+            if mine:
+                out.append((k1, k2, sorted({bench.ids[i] for i in mine if bench.ids[i] is not None}), max(mine.values())))
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["k1", "k2", "ids", "share"])
+
+
+def _text_keys(text: str) -> list[Column]:
+    """A verdict belongs to a text: 96 bits of hash name it."""
+    c = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(c).alias("k1"), F.hash(F.lit(7), c).alias("k2")]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text="text", item_key="item_id", item_text="text", most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(k1, k2, items, share) of the texts that items leak into, by the keys of ``_text_keys``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def counted(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() <= most else table
+
+    with scratch(spark):
+        items = benchmark.select(F.col(item_key).cast("long").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
+        items = written(items.withColumn("item", F.xxhash64("id", "text")), "items")
+        windows = written(items.select("item", "text").mapInArrow(_item_windows, "h long, item long, need long, width int"), "item-windows")
+        # Lengths of items of fewer than five tokens: a handful of small numbers.
+        widths = sorted(r.width for r in windows.filter("width <> 0").select("width").distinct().collect())
+        texts = docs.select(*_text_keys(text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+        hashed = texts.mapInArrow(_text_windows([w for w in widths if w > 0], -1 in widths), "k1 long, k2 int, hashes array<long>")
+        # A number for each row, so that rows that repeat a text are counted apart; any numbering will do.
+        each = hashed.withColumn("copy", F.monotonically_increasing_id()).select("k1", "k2", "copy", F.explode("hashes").alias("h"))
+        met = each.join(counted(windows.drop("width")), "h").groupBy("k1", "k2", "copy", "item", "need").agg(F.count("*").alias("n")).filter("n >= need")
+        pairs = written(met.select("k1", "k2", "item").distinct(), "leak-candidates")
+        size = pairs.groupBy("k1", "k2").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        dealt = pairs.join(size, ["k1", "k2"]).withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")))
+        asked = dealt.join(items, "item").groupBy("k1", "k2", "chunk").agg(F.collect_list(F.struct("id", "text")).alias("items"))
+        few = counted(written(pairs.select("k1", "k2").distinct(), "candidate-texts"))
+        wanted = written(texts.join(few, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "candidates")
+        told = wanted.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "items").mapInArrow(_compare, "k1 long, k2 int, ids array<long>, share double")
+        each = told.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"), F.max("share").alias("share"))
+        return written(each, "leaks", keep=True)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text="text", **how) -> DataFrame:
+    """The ``keep`` columns, items (ids that leak, sorted), share (the largest share of an item's windows) and contaminated."""
+    found = leaks(docs, benchmark, text, **how)
+    found = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS // 16 else found
+    names = [f"c{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *_text_keys(text)).join(found, ["k1", "k2"], "left")
+    items, share = F.coalesce("items", F.array().cast("array<bigint>")), F.coalesce("share", F.lit(0.0))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], items.alias("items"), share.alias("share"), (share > 0).alias("contaminated"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text="text", **how) -> DataFrame:
     """The rows of ``docs`` that no item leaks into, with the columns of ``docs``."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    found = contamination(docs.toDF(*names), benchmark, tuple(names), names[docs.columns.index(text)], **how)
-    return found.filter(~F.col("contaminated")).select(*names).toDF(*docs.columns)
+    found = leaks(docs, benchmark, text, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    found = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
+    k1, k2 = _text_keys(text)
+    return docs.join(found, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
