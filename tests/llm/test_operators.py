@@ -689,3 +689,15 @@ def test_suffixes(spark, docs, none, monkeypatch, bucket):
         got = [tuple(x)[:5] for x in suffix.suffix_dedup(df).collect()]
         assert sorted(got, key=repr) == sorted(brute_removed(rows), key=repr)
     assert suffix.suffix_dedup(none).count() == 0
+
+
+def test_one_suffix_in_every_text_and_long_texts(spark, monkeypatch):
+    """A line that all texts share amid other words, rows that repeat, and texts of over one block and of several arrow batches."""
+    monkeypatch.setattr(suffix, "PARTITIONS", 2)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 30_000)
+    line = " read the whole of this line in each and every one of the texts of this table "
+    long = prose(40_000, 77)
+    rows = [(k, prose(8 + k % 5, 5000 + k) + line + prose(7, 6000 + k)) for k in range(150)] + [(7, "twice " + line)] * 3
+    rows += [(200, long), (201, "x" + long[: BLOCK + 5000] + " end"), (202, prose(30, 78) + long[1000:1400])]
+    got = [tuple(x)[:5] for x in suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted(brute_removed(rows))

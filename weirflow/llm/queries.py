@@ -121,5 +121,21 @@ SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kep
 """
 
 
+#: Every 50-byte string of every text, as hexadecimal digits, and the smallest id that has it.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+k AS (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS k FROM d),
+w AS (SELECT r, doc_id, k, md5(substr(h, 2 * k + 1, 100)) AS s FROM k),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS before FROM w JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT r, k, count(*) FILTER (WHERE before IS NULL OR k > before + 50) OVER (PARTITION BY r ORDER BY k) AS g FROM hit),
+spans AS (SELECT r, min(k) AS a, max(k) + 50 AS b FROM g GROUP BY r, g),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans),
+kept AS (SELECT d.r, doc_id, n, h, coalesce(string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a), '') AS head, coalesce(max(b), 0) AS tail,
+  coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans FROM d LEFT JOIN cuts ON cuts.r = d.r GROUP BY ALL)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(head || substr(h, 2 * tail + 1))) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op2_extendible_shards": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op10_suffix_dedup": OP10_SQL, "op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op2_extendible_shards": OP2_SQL, "op4_exact_dedup": OP4_SQL}

@@ -17,8 +17,9 @@ windows between are induced from the sample:
 
 Tuples travel as column blocks, one for each task and bucket, not as rows.
 Buckets are about BUCKET_BYTES of text each, so what a task holds does not grow with
-the input. Digests of windows and runs have 64 and 48 bits beside the bits of the
-suffix hash that a bucket shares.
+the input, and a partition takes several buckets in turn once there are more than ``PARTITIONS``. Equality is that of
+hashes: 64 bits of a run's bytes beside the hash of its suffix, and 64 bits of a window's bytes among the windows of one suffix. Of
+10 million different runs of one suffix two clash with a chance of 3 in a million.
 
 Defined results: null counts as empty; texts under 50 bytes keep everything;
 rows of equal id never shorten one another; rows with a null id come after all others and
@@ -37,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import small_batches, written
+from .store import scratch, small_batches, written
 
 LENGTH = 50
 #: Bytes of the sampled suffix that pick it; windows have LENGTH - K + 1 places for it.
 K = 16
 #: Bytes of text whose tuples meet in one bucket, on average.
 BUCKET_BYTES = 8 << 20
+#: Buckets beyond so many share partitions, which a driver must schedule.
+PARTITIONS = 1 << 15
 #: Bytes of text whose tuples a task holds before it sends them.
 FLUSH_BYTES = 8 << 20
 
@@ -109,7 +112,7 @@ def _pack(hashes, digests, doc, start, count, offset, keys, ids) -> bytes:
     new = np.ones(len(mine), bool)
     new[1:] = mine[1:] != mine[:-1]
     per = np.diff(np.append(np.flatnonzero(new), len(mine)))
-    packed = digests[order].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    packed = digests[order].tobytes()
     parts = [ids[docs].tobytes(), keys[docs].tobytes(), per.astype(np.uint32).tobytes(), start.astype(np.uint32).tobytes(), count[order].astype(np.uint8).tobytes(), offset[order].astype(np.uint8).tobytes()]
     small = pa.compress(b"".join(parts), codec="zstd", asbytes=True)
     return np.array([len(docs), len(mine), len(small)], np.int64).tobytes() + small + hashes[order].astype(np.uint32).tobytes() + packed
@@ -124,9 +127,7 @@ def _unpack(raw: bytes) -> dict[str, np.ndarray]:
         at += int(m) * np.dtype(kind).itemsize
     out["id"], out["key"] = np.repeat(out.pop("ids"), out["per"]), np.repeat(out.pop("keys"), out["per"])
     out["hash"] = np.frombuffer(raw, np.uint32, n, 24 + int(size))
-    digest = np.zeros((n, 8), np.uint8)
-    digest[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 24 + int(size) + 4 * int(n)).reshape(-1, 6)
-    out["digest"] = digest.view(np.uint64).ravel()
+    out["digest"] = np.frombuffer(raw, np.uint8, 8 * n, 24 + int(size) + 4 * int(n)).view(np.uint64)
     del out["per"]
     return out
 
@@ -163,7 +164,6 @@ def _tuples(buckets: int):
             ids = np.concatenate([x[1] for x in held])
             doc = np.concatenate([x[2] + b for x, b in zip(held, np.cumsum([0] + [len(x[0]) for x in held[:-1]]), strict=True)])
             start, count, offset, grams, digest = (np.concatenate([x[k] for x in held]) for k in range(3, 8))
-            digest &= _U((1 << 48) - 1)
             bucket = (grams >> _U(32)) % _U(buckets)
             short = grams.astype(np.uint32)
             done, _ = _settle(grams, digest, ids[doc])
@@ -392,18 +392,21 @@ def _finish(batches):
 
 def suffix_dedup(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row; spans are the removed runs."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    tuples = base.mapInArrow(_tuples(buckets), _TUPLES).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    sorted_ = written(tuples.mapInArrow(_sorted_buckets, _SETTLED), "sorted")
-    asked = (F.col("span") % 256) == 1
-    # A text's spans are as many as it has runs at most.
-    wanted = sorted_.filter(asked).groupBy("key").agg(F.collect_list("span").alias("spans"))
-    texts = base.mapInArrow(_squeeze, _SQUEEZED)
-    contexts = texts.join(wanted, "key").select("key", "id", "size", "text", "spans").mapInArrow(_windows(buckets), _CONTEXTS)
-    compared = written(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _SETTLED), "compared")
-    gone = sorted_.filter(~asked).unionByName(compared).groupBy("key").agg(F.collect_list("span").alias("spans"))
-    joined = texts.join(gone, "key", "left").select("key", "id", "size", "text", "spans")
-    return joined.mapInArrow(_finish, _RESULT).withColumnRenamed("id", key)
+    parts = min(buckets, PARTITIONS)
+    with scratch(spark):
+        tuples = base.mapInArrow(_tuples(buckets), _TUPLES).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        sorted_ = written(tuples.mapInArrow(_sorted_buckets, _SETTLED), "sorted")
+        asked = (F.col("span") % 256) == 1
+        # Rows that repeat id and text share a key and so their spans: as a set, a text's are as many as it has runs at most.
+        wanted = sorted_.filter(asked).groupBy("key").agg(F.collect_set("span").alias("spans"))
+        texts = base.mapInArrow(_squeeze, _SQUEEZED)
+        contexts = texts.join(wanted, "key").select("key", "id", "size", "text", "spans").mapInArrow(_windows(buckets), _CONTEXTS)
+        compared = written(contexts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _SETTLED), "compared")
+        gone = sorted_.filter(~asked).unionByName(compared).groupBy("key").agg(F.collect_set("span").alias("spans"))
+        joined = texts.join(gone, "key", "left").select("key", "id", "size", "text", "spans")
+        return written(joined.mapInArrow(_finish, _RESULT), "suffixes", keep=True).withColumnRenamed("id", key)
