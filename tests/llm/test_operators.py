@@ -94,6 +94,18 @@ def test_rounding_keeps_probabilities(spark):
     assert all(abs(t - 120) < 15 for t in taken)
 
 
+def test_many_repeated_rows_are_many_groups(spark):
+    """One id and size on a third of the rows: copies come near the target and reruns agree."""
+    rows = [(7, "five words are in here", "s")] * 3000 + [(k, "w " * (1 + k % 9), "s") for k in range(100, 3000)] + [(k, "x y", None) for k in range(4000, 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == len(rows)
+    for target in {r.target for r in got}:
+        mine = [r for r in got if r.target == target]
+        assert abs(sum(r.taken for r in mine) - target) <= 5
+
+
 def test_mixed_documents(spark, docs, none):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and mixing.mixed_documents(none).count() == 0

@@ -65,10 +65,10 @@ def _draw(*parts: Column) -> Column:
 
 def _fold(rows: Column, seed: int) -> Column:
     """Pivotal rounding along an array of structs (id, size, base, p): the settled rows and the residual."""
-    row_type = "struct<id:bigint,size:bigint,base:bigint,sid:bigint,p:double>"
+    row_type = "struct<id:bigint,size:bigint,base:bigint,sid:bigint,copy:bigint,p:double>"
 
     def settled(x: Column, p: Column) -> Column:
-        return F.struct(*[x[c].alias(c) for c in ("id", "size", "base", "sid")], p.cast("double").alias("p"))
+        return F.struct(*[x[c].alias(c) for c in ("id", "size", "base", "sid", "copy")], p.cast("double").alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
         i = acc["carry"]
@@ -88,9 +88,11 @@ def _fold(rows: Column, seed: int) -> Column:
 def round_copies(rows: DataFrame, fan: int = FAN, seed: int = 17) -> DataFrame:
     """Rows (id, size, base, sid, p) with every p settled to 0 or 1.
 
-    ``sid`` is the source within which mass may move. One level a pass, each
+    ``sid`` is the source within which mass may move; ``copy`` (0 where there is none) tells rows that repeat
+    id and size apart, so that they do not meet in one group. One level a pass, each
     written before the next reads its residuals.
     """
+    rows = rows if "copy" in rows.columns else rows.withColumn("copy", F.lit(0).cast("long"))
     open_row = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS) & (F.col("size") > 0)
     closed = rows.filter(~open_row).withColumn("p", F.when((F.col("p") > 0.5) & (F.col("size") > 0), 1.0).otherwise(0.0))
     level, parts = rows.filter(open_row), [closed]
@@ -100,13 +102,13 @@ def round_copies(rows: DataFrame, fan: int = FAN, seed: int = 17) -> DataFrame:
         if not most.n:
             break
         groups = F.broadcast(groups) if most.sources <= BROADCAST_SOURCES else groups
-        place = F.xxhash64("id", "size", F.lit(seed + depth))
+        place = F.xxhash64("id", "size", "copy", F.lit(seed + depth))
         folded = (
             level.join(groups, "sid")
             .withColumn("group", F.pmod(place, F.col("groups")))
             .groupBy("sid", "group")
-            .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("large_first"), F.pmod(F.xxhash64("id", F.lit(~seed)), F.lit(1 << 31)).alias("order"), "id", "size", "base", "sid", "p"))).alias("rows"))
-            .select(F.explode(_fold(F.transform("rows", lambda x: F.struct(*[x[c].alias(c) for c in ("id", "size", "base", "sid", "p")])), seed)).alias("row"))
+            .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("large_first"), F.pmod(F.xxhash64("id", F.lit(~seed)), F.lit(1 << 31)).alias("order"), "id", "size", "base", "sid", "copy", "p"))).alias("rows"))
+            .select(F.explode(_fold(F.transform("rows", lambda x: F.struct(*[x[c].alias(c) for c in ("id", "size", "base", "sid", "copy", "p")])), seed)).alias("row"))
             .select("row.*")
         )
         folded = written(folded, "mix-level")
@@ -129,7 +131,9 @@ def mix_sources(docs: DataFrame, key="doc_id", text="text", source="source", wei
     small = targets.count() <= BROADCAST_SOURCES
     side = F.broadcast(targets.withColumnRenamed("source", "name")) if small else targets.withColumnRenamed("source", "name")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    asked = rows.join(side, F.col("source").eqNullSafe(F.col("name"))).select("id", "size", F.floor(ratio).alias("base"), "sid", (ratio - F.floor(ratio)).alias("p"))
+    # Rows that repeat id, size and source are counted, with their counts combined before the shuffle, and numbered.
+    numbered = rows.groupBy("id", "size", "source").agg(F.count("*").alias("n")).select("id", "size", "source", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    asked = numbered.join(side, F.col("source").eqNullSafe(F.col("name"))).select("id", "size", F.floor(ratio).alias("base"), "sid", "copy", (ratio - F.floor(ratio)).alias("p"))
     settled = round_copies(asked, fan, seed)
     of = targets.select("sid", "source_size", "target")
     copies = F.col("base") + F.col("p").cast("long")
