@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.functions.text import is_present, strip_fences
+from weirflow.functions.text import is_present, normalized, strip_fences
 
 PAYLOAD = "sentiment string, stance string, emotion string, content_type string, confidence string, reason_code string"
 
@@ -68,6 +68,22 @@ def breakdown_accuracy(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count_if(hit).alias("correct"), F.count("*").alias("total"), F.round(F.avg(hit.cast("double")), 6).alias("accuracy"))
 
 
+# Accepted spellings of the sentiment labels.
+SENTIMENT_ALIASES = {
+    "positive": "positive", "pos": "positive", "مثبت": "positive",
+    "negative": "negative", "neg": "negative", "منفی": "negative",
+    "neutral": "neutral", "neu": "neutral", "خنثی": "neutral", "خنثي": "neutral",
+    "mixed": "mixed", "آمیخته": "mixed",
+    "unclear": "unclear", "نامشخص": "unclear",
+}
+
+
+def sentiment_alias(c: Column) -> Column:
+    """The label that a spelling stands for, or null."""
+    names = F.create_map(*[F.lit(x) for pair in SENTIMENT_ALIASES.items() for x in pair])
+    return F.try_element_at(names, normalized(c))
+
+
 def length_bucket(n: Column) -> Column:
     return F.when(n < 50, "short").when(n < 150, "medium").otherwise("long")
 
