@@ -106,7 +106,9 @@ def test_many_repeated_rows_are_many_groups(spark):
         assert abs(sum(r.taken for r in mine) - target) <= 5
 
 
-def test_mixed_documents(spark, docs, none):
+@pytest.mark.parametrize("most", [mixing.BROADCAST_COPIES, 0])
+def test_mixed_documents(spark, docs, none, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_COPIES", most)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and mixing.mixed_documents(none).count() == 0
     assert out.count() == sum(r.copies for r in mixing.mix_sources(docs).collect())

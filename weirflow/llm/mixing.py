@@ -33,6 +33,8 @@ MOST = 2.0
 FAN = 32
 #: Up to so many sources the table of targets is broadcast: 40 bytes a row.
 BROADCAST_SOURCES = 20_000
+#: Up to so many rows that the mix takes, their copies are broadcast, so that no text is shuffled: about 120 bytes each; more are joined.
+BROADCAST_COPIES = 500_000
 _EPS = 1e-12
 
 
@@ -150,9 +152,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     key = how.get("key", "doc_id")
     asked = mix_sources(docs, **how).groupBy(F.col(key).alias("__id"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__of"))
     asked = written(asked.filter(F.element_at("__of", 1) > 0), "mix-copies")
+    few = asked.count() <= BROADCAST_COPIES
     size = word_count(F.col(how.get("text", "text")).cast("string"))
     sized = docs.withColumn("__words", size)
-    joined = sized.join(asked, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    joined = sized.join(F.broadcast(asked) if few else asked, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
     # Only ids that repeat have more than one entry; their rows are numbered. Without any, texts are joined once and not sorted.
     if asked.filter(F.size("__of") > 1).limit(1).count():
         rows = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__size").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))))
