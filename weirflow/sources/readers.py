@@ -29,6 +29,26 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[D
     return good, parsed.filter(F.col("__v").isNull()).select("value", "source_file")
 
 
+def preferred_paths(spark: SparkSession, clean: str, patterns: list[str]) -> list[str]:
+    """The clean file if it is there, else what each pattern finds, sorted within it, in the order of the patterns; through Spark's file systems."""
+    conf = spark._jsc.hadoopConfiguration()
+
+    def found(pattern: str) -> list[str]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        return sorted(s.getPath().toString() for s in at.getFileSystem(conf).globStatus(at) or ())
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(clean)
+    return [clean] if at.getFileSystem(conf).exists(at) else [p for pattern in patterns for p in found(pattern)]
+
+
+def preferred_records(spark: SparkSession, clean: str, patterns: list[str], schema: str) -> DataFrame:
+    """Records of the clean JSON lines, else of all raw ones; none where there are no files. A line that does not parse is left out."""
+    paths = preferred_paths(spark, clean, patterns)
+    if not paths:
+        return spark.createDataFrame([], schema + ", source_file string")
+    return reduce(DataFrame.unionByName, [jsonl(spark, p, schema)[0] for p in paths])
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON in either form: one document (array or object) a file, or one a line; the first character decides."""
     head = spark.read.option("wholetext", "true").text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c"), (F.regexp_count(F.trim("value"), F.lit(r"\}\s*\n\s*\{")) > 0).alias("lines"))
@@ -128,7 +148,11 @@ def rewrite(spark: SparkSession, path: str, transform) -> str:
 
 
 def html_payload(tables: dict[str, DataFrame]) -> str:
-    """Small result tables as JSON for a page: NaN as null, "</" escaped."""
-    body = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).toLocalIterator()] for name, df in tables.items()}
-    clean = json.dumps(body, ensure_ascii=False, default=str)
-    return clean.replace(": NaN", ": null").replace('"NaN"', "null").replace("</", "<\\/")
+    """Small result tables as JSON for a page: numbers that are not finite as null, "</" escaped; texts stay as they are."""
+    def finite(df: DataFrame) -> DataFrame:
+        bad = F.array(F.lit(float("inf")), F.lit(float("-inf")), F.lit(float("nan")))
+        return df.select(*[F.when(~F.array_contains(bad, F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+    rows = {name: finite(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator() for name, df in tables.items()}
+    body = {name: [json.loads(r[0]) for r in found] for name, found in rows.items()}
+    return json.dumps(body, ensure_ascii=False, allow_nan=False, default=str).replace("</", "<\\/")
