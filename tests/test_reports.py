@@ -1,10 +1,11 @@
 """Lookups, totals and lists on small tables, nulls and ties included; the sources beside them."""
 
 import json
+import math
 
 import pytest
 
-from weirflow.operators import reports
+from weirflow.operators import inference, reports
 from weirflow.sources import readers
 
 
@@ -58,3 +59,23 @@ def test_payload_keeps_texts(spark):
     text = readers.html_payload({"one": table})
     assert "</" not in text
     assert json.loads(text) == {"one": [{"t": "a: NaN </script", "v": None}, {"t": "NaN", "v": 1.5}, {"t": None, "v": None}]}
+
+
+def test_p_values(spark):
+    rows = [("a", "x", 1.0)] * 8 + [("a", "y", 2.0)] * 2 + [("b", "x", 2.0)] + [("b", "y", 5.0)] * 5
+    df = spark.createDataFrame(rows, "g string, h string, v double")
+    table, cells = [[8, 2], [1, 5]], [(i, j) for i in (0, 1) for j in (0, 1)]
+    expected = {(i, j): sum(table[i]) * (table[0][j] + table[1][j]) / 16 for i, j in cells}
+    x = sum((abs(table[i][j] - expected[i, j]) - 0.5) ** 2 / expected[i, j] for i, j in cells)
+    assert inference.chi_square(df, "g", "h").first().p_value == pytest.approx(math.erfc(math.sqrt(x / 2)), abs=1e-6)
+    hit = df.selectExpr("g", "h = 'x' AS hit")
+    assert inference.fisher(hit, "g", "hit", "a", "b").first().p_value == pytest.approx((math.comb(10, 8) * 6 + 10 * 1 + math.comb(10, 3)) / math.comb(16, 9), abs=1e-6)
+    assert 0 < inference.welch(df, "g", "v", "a", "b").first().p_value < 0.05
+    assert 0 < inference.mann_whitney(df, "g", "v", "a", "b").first().p_value < 0.05
+
+
+def test_p_values_without_groups(spark):
+    none = spark.createDataFrame([], "g string, h string, v double")
+    assert inference.chi_square(none, "g", "h").first().p_value is None
+    assert inference.welch(none, "g", "v", "a", "b").first().p_value is None
+    assert inference.mann_whitney(none, "g", "v", "a", "b").first().p_value is None

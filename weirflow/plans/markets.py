@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from weirflow.calendar import PROJECT
@@ -159,19 +161,33 @@ def _checks(s, d):
     return quality.check_table(r, {"id_present": F.col("content_id").isNotNull(), "confidence_in_range": F.col("confidence").between(0, 1), "author_known": F.col("author_hash").isNotNull(), "engagement_not_negative": F.coalesce("engagement_score", F.lit(0.0)) >= 0})
 
 
+def _tails(bound, density):
+    """Both tails beyond ``bound`` of a symmetric density of x, by Simpson's rule in 4,000 steps; what lies beyond 40 is nothing."""
+    h = f"(least({bound}, 40.0e0) / 4000)"
+    points = f"list_sum([(CASE WHEN i % 4000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({re.sub(r'\bx\b', f'(i * {h})', density)}) FOR i IN range(4001)])"
+    return f"CASE WHEN {bound} > 40 THEN 0.0e0 ELSE round(abs(1 - 2 * {h} / 3 * {points}), 6) END"
+
+
 def _mw(s, d):
     return inference.mann_whitney(records(s, d).withColumn("v", F.round("engagement_score", 0)), "platform", "v", "x", "reddit")
 
 
 MW_SQL = f"""WITH {RECORDS_SQL}, t AS (SELECT platform, round(engagement_score, 0) AS v FROM records WHERE platform IN ('x', 'reddit') AND engagement_score IS NOT NULL), k AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0e0 AS r FROM t),
 g AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM t GROUP BY v)), s AS (SELECT count(*) FILTER (WHERE platform = 'x') AS n1, count(*) FILTER (WHERE platform = 'reddit') AS n2, sum(r) FILTER (WHERE platform = 'x') AS ra FROM k),
-u AS (SELECT *, ra - n1 * (n1 + 1) / 2.0e0 AS u FROM s, g) SELECT n1, n2, round(u, 6) AS u, round((abs(u - n1 * n2 / 2.0e0) - 0.5) / sqrt(n1 * n2 / 12.0e0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0e0)))), 6) AS z, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial FROM u"""
+u AS (SELECT *, ra - n1 * (n1 + 1) / 2.0e0 AS u FROM s, g), w AS (SELECT *, (abs(u - n1 * n2 / 2.0e0) - 0.5) / sqrt(n1 * n2 / 12.0e0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0e0)))) AS z FROM u)
+SELECT n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial, {_tails('greatest(z, 0)', 'exp(-x * x / 2) / sqrt(2 * pi())')} AS p_value FROM w"""
+# The tail is the closed form of even degrees of freedom, as with three platforms.
 CHI_SQL = f"""{BASE}, c AS (SELECT platform AS a, stance_label AS b, count(*) AS o FROM ok GROUP BY ALL), t AS (SELECT sum(o) AS n FROM c), r AS (SELECT a, sum(o) AS ra FROM c GROUP BY a), q AS (SELECT b, sum(o) AS cb FROM c GROUP BY b),
-x AS (SELECT sum((coalesce(o, 0) - ra * cb * 1.0e0 / n) ** 2 / (ra * cb * 1.0e0 / n)) AS x, max(n) AS n FROM r CROSS JOIN q CROSS JOIN t LEFT JOIN c USING (a, b)) SELECT n::BIGINT AS n, round(x, 6) AS chi2, ((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM q) - 1) AS dof, round(sqrt(x / n / least((SELECT count(*) FROM r) - 1, (SELECT count(*) FROM q) - 1)), 6) AS cramers_v FROM x"""
-WELCH_SQL = f"""{BASE}, s AS (SELECT count(engagement_score) FILTER (WHERE platform = 'x') AS n1, avg(engagement_score) FILTER (WHERE platform = 'x') AS m1, var_samp(engagement_score) FILTER (WHERE platform = 'x') AS v1, count(engagement_score) FILTER (WHERE platform = 'youtube') AS n2, avg(engagement_score) FILTER (WHERE platform = 'youtube') AS m2, var_samp(engagement_score) FILTER (WHERE platform = 'youtube') AS v2 FROM ok)
-SELECT n1, n2, round(m1 - m2, 6) AS difference, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 4) AS dof, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0e0 / (4 * (n1 + n2) - 9)), 6) AS hedges_g, round(m1 - m2 - 1.959963984540054 * sqrt(v1 / n1 + v2 / n2), 6) AS ci_low, round(m1 - m2 + 1.959963984540054 * sqrt(v1 / n1 + v2 / n2), 6) AS ci_high FROM s"""
+x AS (SELECT sum((coalesce(o, 0) - ra * cb * 1.0e0 / n) ** 2 / (ra * cb * 1.0e0 / n)) AS x, max(n) AS n FROM r CROSS JOIN q CROSS JOIN t LEFT JOIN c USING (a, b)) SELECT n::BIGINT AS n, round(x, 6) AS chi2, ((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM q) - 1) AS dof, round(sqrt(x / n / least((SELECT count(*) FROM r) - 1, (SELECT count(*) FROM q) - 1)), 6) AS cramers_v,
+round(exp(-x / 2) * list_sum([(x / 2) ** i / gamma(i + 1.0e0) FOR i IN range(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM q) - 1) // 2)]), 6) AS p_value FROM x"""
+WELCH_SQL = f"""{BASE}, s AS (SELECT count(engagement_score) FILTER (WHERE platform = 'x') AS n1, avg(engagement_score) FILTER (WHERE platform = 'x') AS m1, var_samp(engagement_score) FILTER (WHERE platform = 'x') AS v1, count(engagement_score) FILTER (WHERE platform = 'youtube') AS n2, avg(engagement_score) FILTER (WHERE platform = 'youtube') AS m2, var_samp(engagement_score) FILTER (WHERE platform = 'youtube') AS v2 FROM ok),
+w AS (SELECT *, abs(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS k FROM s)
+SELECT n1, n2, round(m1 - m2, 6) AS difference, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 4) AS dof, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0e0 / (4 * (n1 + n2) - 9)), 6) AS hedges_g, round(m1 - m2 - 1.959963984540054 * sqrt(v1 / n1 + v2 / n2), 6) AS ci_low, round(m1 - m2 + 1.959963984540054 * sqrt(v1 / n1 + v2 / n2), 6) AS ci_high, {_tails('t', 'exp(lgamma((k + 1) / 2) - lgamma(k / 2)) / sqrt(k * pi()) * (1 + x * x / k) ** (-(k + 1) / 2)')} AS p_value FROM w"""
 FISHER_SQL = f"""{BASE}, x AS (SELECT count(*) FILTER (WHERE platform = 'x' AND sentiment_label = 'positive') AS a, count(*) FILTER (WHERE platform = 'x' AND sentiment_label <> 'positive') AS b, count(*) FILTER (WHERE platform = 'reddit' AND sentiment_label = 'positive') AS c, count(*) FILTER (WHERE platform = 'reddit' AND sentiment_label <> 'positive') AS d FROM ok),
-l AS (SELECT *, ln(a * d * 1.0e0 / (b * c)) AS l, 1.959963984540054 * sqrt(1.0e0 / a + 1.0e0 / b + 1.0e0 / c + 1.0e0 / d) AS se FROM x) SELECT a, b, c, d, round(exp(l), 6) AS odds_ratio, round(exp(l - se), 6) AS or_low, round(exp(l + se), 6) AS or_high FROM l"""
+l AS (SELECT *, ln(a * d * 1.0e0 / (b * c)) AS l, 1.959963984540054 * sqrt(1.0e0 / a + 1.0e0 / b + 1.0e0 / c + 1.0e0 / d) AS se FROM x),
+h AS (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i, a, b, c, d FROM x), lp AS (SELECT *, -(lgamma(i + 1.0e0) + lgamma(a + b - i + 1.0e0) + lgamma(a + c - i + 1.0e0) + lgamma(d - a + i + 1.0e0)) AS lp FROM h),
+tot AS (SELECT max(lp) AS m, max(lp) FILTER (WHERE i = a) AS seen FROM lp), pv AS (SELECT least(1.0e0, sum(exp(lp - m)) FILTER (WHERE lp <= seen + 1e-7) / sum(exp(lp - m))) AS p FROM lp, tot)
+SELECT a, b, c, d, round(exp(l), 6) AS odds_ratio, round(exp(l - se), 6) AS or_low, round(exp(l + se), 6) AS or_high, round(p, 6) AS p_value FROM l, pv"""
 OKR = lambda s, d: records(s, d).filter("annotation_status = 'ok'")
 
 QUERIES = {
