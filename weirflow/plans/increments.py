@@ -78,13 +78,18 @@ def _dense(spark, sf_dir):
     return incremental.split_dense(counts, 400)
 
 
+DENSE_SQL = """WITH c AS (SELECT floor(epoch(date_trunc('second', ts)) / 600)::BIGINT AS t, count(*) AS n FROM events GROUP BY 1),
+e AS (SELECT min(t) AS a, CASE WHEN max(t) = min(t) THEN 0 ELSE floor(log2(max(t) - min(t)))::BIGINT + 1 END AS k FROM c), lv AS (SELECT a, k, unnest(generate_series(0, k)) AS j FROM e),
+s AS (SELECT a, k, j, (t - a) >> j AS cell, sum(n)::BIGINT AS n FROM c CROSS JOIN lv GROUP BY ALL)
+SELECT s.a + (s.cell << s.j) AS lo, s.a + ((s.cell + 1) << s.j) AS hi, s.n FROM s LEFT JOIN s AS p ON p.j = s.j + 1 AND p.cell = s.cell >> 1 WHERE (s.j = s.k OR p.n > 400) AND (s.n <= 400 OR s.j = 0)"""
+
 QUERIES = {
     "stream_weekly_counts": (_weekly_stream, "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "stream_new_contents": (_dedup_stream, "SELECT count(DISTINCT event_id % 3000) AS n_new FROM events"),
     "stream_bursts": (_burst_stream, BURST_SQL),
     "upsert_merge": (_upsert, UPSERT_SQL),
     "entity_watermarks": (_marks, MARKS_SQL),
-    "dense_intervals": (_dense, None),
+    "dense_intervals": (_dense, DENSE_SQL),
     "thread_responses": (lambda s, d: risk.response_times(comments(s, d)).select("content_id", "parent_author", "response_seconds", "is_self_reply"), f"WITH {COMMENTS_SQL} SELECT c.content_id, p.author AS parent_author, c.t - p.t AS response_seconds, coalesce(c.author = p.author, false) AS is_self_reply FROM comments c LEFT JOIN comments p ON p.content_id = c.parent_comment_id"),
     "first_matches": (lambda s, d: incremental.first_matches(records(s, d), "author_hash", "query_id", order="content_id").select("author_hash", "query_id", "content_id"), f"WITH {RECORDS_SQL} SELECT author_hash, query_id, min(content_id) AS content_id FROM records GROUP BY ALL"),
 }

@@ -190,6 +190,12 @@ tot AS (SELECT max(lp) AS m, max(lp) FILTER (WHERE i = a) AS seen FROM lp), pv A
 SELECT a, b, c, d, round(exp(l), 6) AS odds_ratio, round(exp(l - se), 6) AS or_low, round(exp(l + se), 6) AS or_high, round(p, 6) AS p_value FROM l, pv"""
 OKR = lambda s, d: records(s, d).filter("annotation_status = 'ok'")
 
+#: CRC-32 byte by byte and bit by bit; ids are ASCII.
+CRC_SQL = f"""WITH {RECORDS_SQL}, b AS (SELECT list_prepend(4294967295::BIGINT, list_transform(string_split(content_id, ''), lambda c: ascii(c)::BIGINT)) AS bytes FROM records),
+c AS (SELECT xor(list_reduce(bytes, lambda crc, x: list_reduce([xor(crc, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, k: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) AS crc FROM b)
+SELECT crc % 4 AS shard, count(*) AS n FROM c GROUP BY 1"""
+
+
 QUERIES = {
     "asset_changes": (lambda s, d: _round(_day(finance.changes(assets(s, d))), "value", "change"), f"{CH} SELECT {DAY}, asset_id, round(value, 6) AS value, transform, round(change, 6) AS change FROM ch"),
     "asset_volatility": (lambda s, d: _round(_day(finance.rolling_volatility(assets(s, d))), "volatility"), f"{CH}, c AS (SELECT * FROM ch WHERE change IS NOT NULL) SELECT {DAY}, asset_id, round(CASE WHEN count(change) OVER w = 10 THEN stddev_samp(change) OVER w * sqrt(252) END, 6) AS volatility FROM c WINDOW w AS (PARTITION BY asset_id ORDER BY c.observation_date ROWS 9 PRECEDING)"),
@@ -223,7 +229,7 @@ QUERIES = {
     "sample_capped": (lambda s, d: sampling.stratified_cap(records(s, d), "content_id", ("platform", "project_week"), 20).select("content_id", "platform", "project_week"), f"WITH {RECORDS_SQL} SELECT content_id, platform, project_week FROM records QUALIFY row_number() OVER (PARTITION BY platform, project_week ORDER BY {HASH.format(c='content_id')}, content_id) <= 20"),
     "sample_quota": (lambda s, d: sampling.quota_sample(texts(s, d), "record_id", ("platform", "lang"), 12, 160).select("record_id", "platform", "lang", F.col("sample_pass").cast("long").alias("sample_pass")), f"WITH {TEXTS_SQL}, r AS (SELECT *, {HASH.format(c='record_id')} AS h, row_number() OVER (PARTITION BY platform, lang ORDER BY {HASH.format(c='record_id')}, record_id) AS r FROM texts), o AS (SELECT *, row_number() OVER (ORDER BY h, record_id) AS k FROM r WHERE r > 12) SELECT record_id, platform, lang, 1::BIGINT AS sample_pass FROM r WHERE r <= 12 UNION ALL SELECT record_id, platform, lang, 2 FROM o WHERE k <= greatest(0, 160 - (SELECT count(*) FROM r WHERE r <= 12))"),
     "sample_blinded": (lambda s, d: sampling.blinded_audit(records(s, d), "content_id", ("platform", "is_near_duplicate"), 10).select("audit_id", "content_id", "platform", "is_near_duplicate"), f"WITH {RECORDS_SQL}, p AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY platform, is_near_duplicate ORDER BY {HASH.format(c='content_id')}, content_id) <= 10) SELECT 'RA1405-' || lpad((row_number() OVER (ORDER BY md5('1412:' || content_id), content_id))::VARCHAR, 4, '0') AS audit_id, content_id, platform, is_near_duplicate FROM p"),
-    "shard_crc32": (lambda s, d: sampling.sharded(records(s, d), "content_id", 4).groupBy("shard").agg(F.count("*").alias("n")), None),
+    "shard_crc32": (lambda s, d: sampling.sharded(records(s, d), "content_id", 4).groupBy("shard").agg(F.count("*").alias("n")), CRC_SQL),
     "platform_grades": (_grades, GRADE_SQL),
     "query_week_audit": (lambda s, d: quality.query_week_audit(records(s, d), _weeks(s), QUERY_IDS), f"{BASE}, q AS (SELECT * FROM (VALUES {QGRID}) AS v(query_id)), c AS (SELECT query_id, project_week, count(DISTINCT content_id) AS a, count(DISTINCT author_hash) AS b FROM records GROUP BY ALL) SELECT query_id, project_week, coalesce(a, 0) AS n_contents, coalesce(b, 0) AS n_authors, CASE WHEN a IS NULL THEN 'EMPTY' ELSE 'OK' END AS status FROM q CROSS JOIN (SELECT project_week FROM weeks) LEFT JOIN c USING (query_id, project_week)"),
     "weekly_volume": (lambda s, d: quality.weekly_volume(records(s, d), _weeks(s)), f"{BASE}, c AS (SELECT project_week, count(content_id) AS n_rows, count(DISTINCT post_id) AS n_posts, count(DISTINCT author_hash) AS n_users FROM weeks LEFT JOIN records USING (project_week) GROUP BY 1) SELECT *, CASE WHEN n_rows = 0 THEN 'EMPTY' WHEN n_rows < 0.25 * (SELECT quantile_cont(n_rows, 0.5) FROM c WHERE n_rows > 0) THEN 'LOW' ELSE 'OK' END AS status FROM c"),

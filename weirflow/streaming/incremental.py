@@ -85,31 +85,21 @@ def upsert_sink(stream: DataFrame, path: str, key: str, ids: str, metrics: tuple
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def split_dense(counts: DataFrame, most: int, rounds: int = 12) -> DataFrame:
-    """(lo, hi, n): intervals of per-second counts (t, n) halved while they hold more than ``most`` rows.
+def split_dense(counts: DataFrame, most: int) -> DataFrame:
+    """(lo, hi, n): intervals of per-second counts (t, n) halved while they hold more than ``most`` rows and more than one second.
 
-    Halving a fixed interval is choosing how many leading bits of the offset count, so each level is one aggregate.
+    Halving a fixed interval is choosing how many leading bits of the offset count, so all levels are one aggregate.
     """
     ends = counts.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     if ends.a is None:
         return counts.sparkSession.createDataFrame([], "lo long, hi long, n long")
-    width = 1
-    while width < ends.b - ends.a + 1:
-        width *= 2
-    sums = None
-    for _ in range(rounds):
-        cell = F.floor((F.col("t") - ends.a) / width)
-        part = counts.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).select((F.col("c") * width + ends.a).alias("lo"), (F.col("c") * width + ends.a + width).alias("hi"), "n", F.lit(width).alias("w"))
-        sums = part if sums is None else sums.unionByName(part)
-        if width == 1:
-            break
-        width //= 2
-    last = width
-    fits = (F.col("n") <= most) | (F.col("w") == last)
-    parents = sums.select((F.col("w") / 2).cast("int").alias("w"), F.col("lo").alias("p"), F.col("n").alias("pn"))
-    child = sums.withColumn("p", F.col("lo") - F.pmod(F.col("lo") - ends.a, F.col("w") * 2))
-    reached = child.join(F.broadcast(parents), ["w", "p"], "left").filter(F.col("pn").isNull() | (F.col("pn") > most))
-    return reached.filter(fits).select("lo", "hi", "n")
+    top = int(ends.b - ends.a).bit_length()
+    offsets = counts.select((F.col("t") - ends.a).cast("long").alias("o"), "n", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("j"))
+    sums = offsets.groupBy("j", F.expr("shiftright(o, j)").alias("cell")).agg(F.sum("n").alias("n"))
+    parents = sums.select((F.col("j") - 1).alias("j"), F.col("cell").alias("above"), F.col("n").alias("pn"))
+    reached = sums.withColumn("above", F.shiftright("cell", 1)).join(parents, ["j", "above"], "left").filter((F.col("j") == top) | (F.col("pn") > most))
+    fits = reached.filter((F.col("n") <= most) | (F.col("j") == 0))
+    return fits.select((F.expr("shiftleft(cell, j)") + ends.a).alias("lo"), (F.expr("shiftleft(cell + 1, j)") + ends.a).alias("hi"), "n")
 
 
 def first_matches(rows: DataFrame, *key: str, order: str) -> DataFrame:
