@@ -163,3 +163,14 @@ def test_permutations_as_many_as_in_the_reference(spark):
     got = {r.asset_id: r for r in finance.permutation_p(spark.createDataFrame(rows, "asset_id string, x double, y double"), "asset_id").collect()}
     assert got["a"].p_value == pytest.approx(1 / 10_000) and got["b"].p_value is None
     assert 0.05 < got["c"].p_value < 1 and got["c"].n_pairs == 12
+
+
+def test_correlation_of_constant_sides(spark):
+    from weirflow.functions.stats import correlation
+    from weirflow.operators.finance import spearman
+
+    rows = [("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("one", 1.0, 1.0), ("up", 1.0, 2.0), ("up", 2.0, 4.0), ("up", None, 9.0), ("up", 7.0, None), ("up", 3.0, 6.0), ("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r.k: r.r for r in df.groupBy("k").agg(correlation("x", "y").alias("r")).collect()}
+    assert got.pop("up") == pytest.approx(1.0) and got == {"flat": None, "one": None, "none": None}
+    assert {r.k: r.spearman for r in spearman(df.filter("k <> 'none' AND x IS NOT NULL AND y IS NOT NULL"), "k").collect()} == {"flat": None, "one": None, "up": 1.0}

@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 Z = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over the rows that have both; null without rows or where a side is constant, which Spark's own fails on."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def _wilson(k: Column, n: Column, confidence: float, sign: int) -> Column:
     z = Z[confidence]
     p = k / n

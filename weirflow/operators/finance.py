@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.functions.stats import correlation
+
 VOLATILITY_ROWS = 10
 
 
@@ -111,7 +113,7 @@ def cross_check(series: DataFrame, a: str, b: str, level_tolerance: float = 0.02
     c = changes(series)
     x = c.filter(F.col("asset_id") == a).select("observation_date", F.col("value").alias("x"), F.col("change").alias("dx"))
     y = c.filter(F.col("asset_id") == b).select("observation_date", F.col("value").alias("y"), F.col("change").alias("dy"))
-    j = x.join(y, "observation_date").agg(F.count("*").alias("n_common"), F.percentile(F.abs(F.col("x") - F.col("y")) / F.col("y"), F.lit(0.5)).alias("d"), F.corr("dx", "dy").alias("r"), F.avg((F.signum("dx") == F.signum("dy")).cast("double")).alias("s"))
+    j = x.join(y, "observation_date").agg(F.count("*").alias("n_common"), F.percentile(F.abs(F.col("x") - F.col("y")) / F.col("y"), F.lit(0.5)).alias("d"), correlation("dx", "dy").alias("r"), F.avg((F.signum("dx") == F.signum("dy")).cast("double")).alias("s"))
     status = F.when(F.col("d") < level_tolerance, "level_match").when((F.col("r") >= least_corr) & (F.col("s") >= least_corr), "return_match").otherwise("mismatch")
     return j.select("n_common", F.round("d", 6).alias("median_relative_difference"), F.round("r", 6).alias("return_correlation"), F.round("s", 6).alias("same_sign_share"), status.alias("status"))
 
@@ -122,7 +124,7 @@ def lag_correlations(series: DataFrame, lags=(0, 1, 3, 7), least: int = 30) -> D
     x = c.toDF("x_asset", "x_date", "x").crossJoin(F.broadcast(c.sparkSession.createDataFrame([(v,) for v in lags], "lag int"))).withColumn("observation_date", F.date_add("x_date", F.col("lag")))
     y = c.toDF("y_asset", "observation_date", "y")
     j = x.join(y, "observation_date").filter("x_asset <> y_asset")
-    return j.groupBy("x_asset", "y_asset", "lag").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r")).withColumn("r", F.when(F.col("n") >= least, F.col("r")))
+    return j.groupBy("x_asset", "y_asset", "lag").agg(F.count("*").alias("n"), F.round(correlation("x", "y"), 6).alias("r")).withColumn("r", F.when(F.col("n") >= least, F.col("r")))
 
 
 def spearman(pairs: DataFrame, *by: str) -> DataFrame:
@@ -131,7 +133,7 @@ def spearman(pairs: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by)
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
-    return pairs.withColumns({"rx": rank("x"), "ry": rank("y")}).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return pairs.withColumns({"rx": rank("x"), "ry": rank("y")}).groupBy(*by).agg(F.count("*").alias("n"), F.round(correlation("rx", "ry"), 6).alias("spearman"))
 
 
 def week_lag_join(outcomes: DataFrame, returns: DataFrame, lags=(0, 1, 2)) -> DataFrame:

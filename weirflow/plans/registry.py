@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("weekly", "texts", "markets", "increments", "extras", "reports")
+MODULES = ("weekly", "texts", "markets", "increments", "extras", "reports", "alignment")
 
 
 def _all() -> dict:
