@@ -48,9 +48,9 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     n = F.col("n1") + F.col("n2")
     u = F.col("ra") - F.col("n1") * (F.col("n1") + 1) / 2
     mid = F.col("n1") * F.col("n2") / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.abs(u - mid) - 0.5) / sd
-    return s.select("n1", "n2", F.round(u, 6).alias("u"), F.round(z, 6).alias("z"), F.round(1 - 2 * u / (F.col("n1") * F.col("n2")), 6).alias("rank_biserial"), _p(normal_two_sided, F.when(z.isNotNull(), F.greatest(z, F.lit(0.0)))))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.abs(u - mid) - 0.5, sd)
+    return s.select("n1", "n2", F.round(u, 6).alias("u"), F.round(z, 6).alias("z"), F.round(1 - F.try_divide(2 * u, F.col("n1") * F.col("n2")), 6).alias("rank_biserial"), _p(normal_two_sided, F.when(z.isNotNull(), F.greatest(z, F.lit(0.0)))))
 
 
 def welch(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
@@ -59,12 +59,13 @@ def welch(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     aggs = [f(F.when(c, F.col(value))).alias(f"{name}{side}") for side, c in (("1", in_a), ("2", in_b)) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
     s = df.agg(*aggs)
     c = F.col
-    se2 = c("v1") / c("n1") + c("v2") / c("n2")
-    dof = F.pow(se2, 2) / (F.pow(c("v1") / c("n1"), 2) / (c("n1") - 1) + F.pow(c("v2") / c("n2"), 2) / (c("n2") - 1))
-    pooled = F.sqrt(((c("n1") - 1) * c("v1") + (c("n2") - 1) * c("v2")) / (c("n1") + c("n2") - 2))
+    se2 = F.try_divide(c("v1"), c("n1")) + F.try_divide(c("v2"), c("n2"))
+    parts = [F.try_divide(F.pow(F.try_divide(c(f"v{k}"), c(f"n{k}")), 2), c(f"n{k}") - 1) for k in (1, 2)]
+    dof = F.try_divide(F.pow(se2, 2), parts[0] + parts[1])
+    pooled = F.sqrt(F.try_divide((c("n1") - 1) * c("v1") + (c("n2") - 1) * c("v2"), c("n1") + c("n2") - 2))
     d = c("m1") - c("m2")
-    g = d / pooled * (1 - 3 / (4 * (c("n1") + c("n2")) - 9))
-    return s.select("n1", "n2", F.round(d, 6).alias("difference"), F.round(d / F.sqrt(se2), 6).alias("t"), F.round(dof, 4).alias("dof"), F.round(g, 6).alias("hedges_g"), F.round(d - 1.959963984540054 * F.sqrt(se2), 6).alias("ci_low"), F.round(d + 1.959963984540054 * F.sqrt(se2), 6).alias("ci_high"), _p(t_two_sided, d / F.sqrt(se2), dof))
+    g = F.try_divide(d, pooled) * (1 - F.try_divide(F.lit(3.0), 4 * (c("n1") + c("n2")) - 9))
+    return s.select("n1", "n2", F.round(d, 6).alias("difference"), F.round(F.try_divide(d, F.sqrt(se2)), 6).alias("t"), F.round(dof, 4).alias("dof"), F.round(g, 6).alias("hedges_g"), F.round(d - 1.959963984540054 * F.sqrt(se2), 6).alias("ci_low"), F.round(d + 1.959963984540054 * F.sqrt(se2), 6).alias("ci_high"), _p(t_two_sided, F.try_divide(d, F.sqrt(se2)), dof))
 
 
 def fisher(df: DataFrame, group: str, hit: str, a: str, b: str) -> DataFrame:

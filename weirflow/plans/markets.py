@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from weirflow.calendar import PROJECT
-from weirflow.operators import annotation, dedup, finance, inference, quality, sampling
+from weirflow.operators import annotation, battery, dedup, finance, inference, quality, sampling
 from weirflow.plans.weekly import BASE
-from weirflow.sources.bindings import ASSETS_SQL, LABEL_AXES, RECORDS_SQL, SENTIMENTS, TEXTS_SQL, assets, records, table, texts
+from weirflow.sources.bindings import ASSETS_SQL, LABEL_AXES, PLATFORMS, RECORDS_SQL, SENTIMENTS, TEXTS_SQL, assets, records, table, texts
 
 #: The first project day; no order is older.
 START = "1995-01-01"
@@ -240,5 +240,6 @@ QUERIES = {
     "test_mann_whitney": (_mw, MW_SQL),
     "test_welch": (lambda s, d: inference.welch(OKR(s, d), "platform", "engagement_score", "x", "youtube"), WELCH_SQL),
     "test_fisher": (lambda s, d: inference.fisher(OKR(s, d).withColumn("hit", F.col("sentiment_label") == "positive"), "platform", "hit", "x", "reddit"), FISHER_SQL),
+    "group_comparisons": (lambda s, d: battery.battery(records(s, d), PLATFORMS), None),
     "bootstrap_share": (lambda s, d: inference.bootstrap_share(OKR(s, d).withColumn("hit", F.col("sentiment_label") == "positive"), "hit", "platform"), None),
 }
