@@ -424,6 +424,65 @@ def test_open_buckets_take_several_rounds(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == sorted(brute_components(rows))
 
 
+def rows_made(spark, since, *words):
+    """Rows that the plan nodes whose description has all ``words`` made in executions from number ``since`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in (runs.apply(j).executionId() for j in range(runs.size())):
+        if k < since:
+            continue
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if all(w in node.desc() for w in words):
+                for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_rounds_hold_each_entry_to_the_open_buckets_once(spark, monkeypatch):
+    """However many rounds there are, an entry is joined with the open buckets at their start and when it is a hub."""
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "STEP", 2)
+    tables, whole = defaultdict(list), minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name="table", **more: tables[name].append(whole(df, name, **more).localCheckpoint()) or tables[name][-1])
+    passage, rows = prose(100, 31), []
+    for k in range(60):
+        own = prose(28, 300 + k // 2).split()
+        rows.append((k, " ".join([passage, *own[: 20 + 4 * (k % 2)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == sorted(brute_components(rows))
+    entries = tables["open"][0].count()
+    assert len(tables["rest"]) > 3 and 0 < rows_made(spark, since, "bucket", "LeftSemi") <= 2 * entries
+
+
+def test_bands_and_texts_are_shuffled_no_more_than_needed(spark, monkeypatch):
+    """Bands stay where they were made; a text is sent to the hubs that it is compared with, in one exchange."""
+    plans, whole = defaultdict(list), minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name="table", **more: plans[name].append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, name, **more))
+    rows = near_rows(30, 4) + [(k, prose(30, 400 + k)) for k in range(5)]
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+    assert plans["confirmed"] and all(p.count("Exchange hashpartitioning") == 1 for p in plans["confirmed"])
+    assert all("bands" not in p for p in plans["nodes"]) and all("Exchange hashpartitioning" not in p for p in plans["node-texts"])
+
+
+def test_near_duplicates_beyond_the_broadcasts(spark, docs, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_NODES", 0)
+    repeated = [(5, prose(60, 6)), (5, prose(60, 6)), (5, prose(60, 6)), (4, prose(60, 6) + " end"), (None, prose(60, 6)), (None, prose(60, 6))]
+    for rows in (TEXTS, near_rows(40, 2) + near_rows(40, 2)[:9] + repeated):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=repr) == sorted(brute_components(rows), key=repr)
+        assert_one_each(rows, key_text(minhash.without_near_duplicates(df)))
+
+
 def test_components(spark, monkeypatch):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]

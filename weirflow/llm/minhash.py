@@ -145,20 +145,27 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["hub", "node", "both", "either"])
 
 
+def _told(few: DataFrame) -> DataFrame:
+    """``few``, which has been written, to be sent to every executor up to a counted number of rows, and joined beyond it."""
+    return F.broadcast(few) if few.count() <= BROADCAST_NODES else few
+
+
 def _texts(base: DataFrame, nodes: DataFrame) -> DataFrame:
     """One whole text for each of ``nodes`` (node, row, high, low)."""
     nodes = written(nodes, "involved")
-    told = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    found = base.join(told, "row").select("node", "high", "low", "text").mapInArrow(_check_node, "node long, text string")
-    return written(found.dropDuplicates(["node"]), "node-texts")
+    found = written(base.join(_told(nodes), "row").select("node", "high", "low", "text").mapInArrow(_check_node, "node long, text string"), "node-texts")
+    # Only rows that repeat id and text give a node several texts.
+    return found if found.count() <= nodes.count() else written(found.dropDuplicates(["node"]), "node-texts")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(hub, node, both, either): the pairs (hub, node) with the sizes of intersection and union."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
-    members = dealt.join(texts, "node").select("hub", "chunk", "node", "text")
-    heads = dealt.select("hub", "chunk").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "chunk", F.lit(None).cast("long").alias("node"), "text")
+    dealt = written(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node"), "dealt")
+    chunks = written(dealt.select("hub", "chunk").distinct(), "chunks")
+    # Keys go to the texts, so that a text is sent to the hubs that it is compared with and nowhere else.
+    members = texts.join(_told(dealt), "node").select("hub", "chunk", "node", "text")
+    heads = texts.withColumnRenamed("node", "hub").join(_told(chunks), "hub").select("hub", "chunk", F.lit(None).cast("long").alias("node"), "text")
     rows = members.unionByName(heads).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("node").asc_nulls_first())
     return written(rows.mapInArrow(_confirm, _FOUND), "confirmed")
 
@@ -182,8 +189,8 @@ HUBS, STEP = 4, 8
 
 def _bounds(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, most, groups) of ``nodes`` (node, part): what each shares with other parts at all, and that by hash group."""
-    rows = written(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_spread, "node long, shingle long"), "open-sets")
-    seen = rows.join(nodes, "node").groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle")
+    rows = written(texts.join(_told(nodes.select("node")), "node", "left_semi").select("node", "text").mapInArrow(_spread, "node long, shingle long"), "open-sets")
+    seen = rows.join(_told(nodes), "node").groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle")
     # Written first, so that a shingle of very many rows is split among tasks in the join below.
     met = rows.join(written(seen, "met"), "shingle").withColumn("g", F.pmod("shingle", F.lit(GROUPS)))
     groups = [F.count_if(F.col("g") == k).cast("int").alias(f"g{k}") for k in range(GROUPS)]
@@ -204,30 +211,33 @@ def further_links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, links:
     """``links`` with those between nodes of one bucket that its first star has missed."""
 
     def placed(entries: DataFrame, parts: DataFrame) -> DataFrame:
-        return entries.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        return entries.join(_told(parts), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
 
     def still_open(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
+        sides = entries.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("size").alias("size"))
+        return written(sides.filter("a <> b").select("bucket", "size"), "live")
 
     parts = components(links)
     first = written(placed(shared.filter("size > 2").select("bucket", "node", "size"), parts), "placed")
-    entries = written(first.join(still_open(first), "bucket", "left_semi").drop("part"), "open")
+    entries = written(first.join(_told(still_open(first).select("bucket")), "bucket", "left_semi").drop("part"), "open")
     if entries.isEmpty():
         return links
+    known = written(placed(entries.select("node").distinct(), parts), "open-nodes")
     # Over a third of a set that fits no other part's is a set that is similar to none.
-    bounds = _bounds(texts, placed(entries.select("node").distinct(), parts)).join(nodes.select("node", "n"), "node").filter(F.col("most") * 100 >= F.col("n") * PERCENT)
+    bounds = _bounds(texts, known).join(nodes.select("node", "n"), "node").filter(F.col("most") * 100 >= F.col("n") * PERCENT)
     opens = entries.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("opens"))
     # When a node's turn as hub of a bucket comes: its place in a random order, about.
     turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
     entries = written(entries.join(bounds, "node").join(opens, "node").withColumn("turn", turn), "entries")
-    texts = written(texts.join(entries.select("node").distinct(), "node", "left_semi"), "open-texts")
+    texts = written(texts.join(_told(written(entries.select("node").distinct(), "open-nodes")), "node", "left_semi"), "open-texts")
     low, high = 0, HUBS
     while True:
         live = placed(entries, parts)
-        live = written(live.join(still_open(live), "bucket", "left_semi"), "live")
-        if low >= (live.agg(F.max("size")).first()[0] or 0):
+        left = still_open(live)
+        if low >= (left.agg(F.max("size")).first()[0] or 0):
             return links
-        hubs = live.filter(F.col("turn").between(low, high) & (F.col("turn") < high))
+        # An entry is a hub in one round alone, so over all rounds the open buckets are joined with each entry once at most.
+        hubs = live.filter(F.col("turn").between(low, high) & (F.col("turn") < high)).join(_told(left.select("bucket")), "bucket", "left_semi")
         later = (F.col("y.turn") > F.col("x.turn")) | ((F.col("y.turn") == F.col("x.turn")) & (F.col("y.node") > F.col("x.node")))
         once = F.array_min(F.array_intersect("x.opens", "y.opens")) == F.col("x.bucket")
         met = hubs.alias("x").join(live.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & later & _allowed("x", "y") & once)
@@ -268,10 +278,14 @@ def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
     small_batches(spark)
     with scratch(spark):
         base = docs.select(_row_key(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        signed = _named(written(base.mapInArrow(_sign, _SIGNED), "signatures"))
-        ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "bands")).alias("x")
-        nodes = written(signed.filter("n > 0").groupBy("node").agg(ranked).select("node", "x.*"), "nodes")
-        banded = nodes.select(F.explode("bands").alias("bucket"), "node")
+        signed = _named(written(base.mapInArrow(_sign, _SIGNED).withColumn("at", F.monotonically_increasing_id()), "signatures"))
+        ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "at")).alias("x")
+        nodes = written(signed.filter("n > 0").groupBy("node").agg(ranked, F.count("*").alias("copies")).select("node", "x.*", "copies"), "nodes")
+        # Equal sets have equal bands: those of the leading row are taken where they lie, so that bands are not shuffled.
+        copied = written(nodes.filter("copies > 1").select("node", F.col("at").alias("first")), "copied")
+        leading = signed.filter("n > 0").join(_told(copied), "node", "left").filter("first IS NULL OR first = at")
+        # Dealt by bucket once, for the sizes and for the entries.
+        banded = leading.select(F.explode("bands").alias("bucket"), "node").repartition("bucket")
         hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
         shared = written(banded.join(hubs, "bucket"), "buckets")
         stars = written(shared.filter("node <> hub").select("hub", "node").distinct(), "stars")
