@@ -474,6 +474,47 @@ def test_bands_and_texts_are_shuffled_no_more_than_needed(spark, monkeypatch):
     assert all("bands" not in p for p in plans["nodes"]) and all("Exchange hashpartitioning" not in p for p in plans["node-texts"])
 
 
+def around_a_passage(n):
+    """Texts around one passage: two and two are similar, and a few more by chance."""
+    passage = prose(100, 31).split()
+    owns = [prose(28, 300 + k // 2).split() for k in range(n)]
+    return [(k, " ".join([*passage, *own[: 20 + 4 * (k % 2)]])) for k, own in enumerate(owns)]
+
+
+def test_a_round_has_two_exchanges(spark, monkeypatch):
+    """A round of hubs shuffles its entries and the texts that it compares once each, and nothing else."""
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "STEP", 2)
+    plans, whole = [], minhash.written
+
+    def kept(df, name="table", **more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return whole(df, name, **more)
+
+    monkeypatch.setattr(minhash, "written", kept)
+    monkeypatch.setattr(components, "written", kept)
+    rows = around_a_passage(60)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+    names = [name for name, _ in plans]
+    rounds = plans[names.index("rest") : names.index("judged")]
+    assert names.count("rest") > 3 and all(n == 1 for name, n in rounds if name in ("rest", "confirmed"))
+    assert not any(n for name, n in rounds if name not in ("rest", "confirmed"))
+
+
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    """Buckets of many more nodes than a block holds: the result and the pairs are those of one block."""
+    pairs, whole = defaultdict(list), minhash.written
+    rows = around_a_passage(60) + [(1000 + i, t) for i, t in near_rows(40, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (minhash.BLOCK, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "written", lambda df, name="table", b=block, **more: (out := whole(df, name, **more), name == "rest" and pairs[b].append(sorted((r.hub, r.node) for r in out.collect() if r.node is not None)))[0])
+        assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == sorted(brute_components(rows))
+    one, several = pairs.values()
+    assert one == several and any(one) and all(len(set(p)) == len(p) for p in one)
+
+
 def test_near_duplicates_beyond_the_broadcasts(spark, docs, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_NODES", 0)
     repeated = [(5, prose(60, 6)), (5, prose(60, 6)), (5, prose(60, 6)), (4, prose(60, 6) + " end"), (None, prose(60, 6)), (None, prose(60, 6))]

@@ -51,9 +51,11 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v) but the roots, which are the smallest nodes."""
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    # Counted with repetitions, which a union-find may have, so few edges are not shuffled; ``edges`` may be read twice.
     if edges.count() <= ONE_TASK:
         return written(edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), "components")
+    edges = written(edges.distinct(), "edges")
     sign = None
     while True:
         edges = written(_small(_large(edges)), "stars")

@@ -13,9 +13,10 @@
    rounds of 4, 32, 256, ... further hubs, each joined to the nodes of other
    components that have not been hubs before it. A round makes as many
    pairs as its hubs times the bucket's nodes at most, components are found anew after it,
-   and buckets that have become one component leave. It ends when every node of
-   every open bucket has been a hub, so no pair that shares a bucket is left
-   untried, and nothing is capped. Before a pair is confirmed, exact upper bounds of its
+   and buckets of which every node has been a hub leave. It ends when every node of
+   every open bucket has been one, so no pair that shares a bucket is left
+   untried, and nothing is capped. A bucket's nodes meet in one Arrow kernel, those of a large one
+   in blocks of hubs and nodes. Before a pair is confirmed, exact upper bounds of its
    intersection must allow the similarity: the sizes, what each set shares with
    other components at all, and the same by hash group. A pair that shares several
    buckets is made in the first of them alone.
@@ -37,6 +38,7 @@ do not, the names are made anew.
 from __future__ import annotations
 
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -158,15 +160,20 @@ def _texts(base: DataFrame, nodes: DataFrame) -> DataFrame:
     return found if found.count() <= nodes.count() else written(found.dropDuplicates(["node"]), "node-texts")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(hub, node, both, either): the pairs (hub, node) with the sizes of intersection and union."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = written(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node"), "dealt")
-    chunks = written(dealt.select("hub", "chunk").distinct(), "chunks")
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(hub, chunk, node): the pairs (hub, node) dealt in chunks of about ``CHUNK`` nodes, and a row without a node for each chunk."""
+    sizes = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "sizes")
+    members = pairs.join(_told(sizes), "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
+    heads = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("node"))
+    return written(members.unionByName(heads), "dealt")
+
+
+def confirm(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, node, both, either): the pairs (hub, node) of ``dealt`` with the sizes of intersection and union."""
     # Keys go to the texts, so that a text is sent to the hubs that it is compared with and nowhere else.
-    members = texts.join(_told(dealt), "node").select("hub", "chunk", "node", "text")
-    heads = texts.withColumnRenamed("node", "hub").join(_told(chunks), "hub").select("hub", "chunk", F.lit(None).cast("long").alias("node"), "text")
-    rows = members.unionByName(heads).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("node").asc_nulls_first())
+    keys = _told(dealt.select(F.coalesce("node", "hub").alias("of"), "hub", "chunk", F.col("node").alias("member")))
+    rows = texts.join(keys, F.col("node") == F.col("of")).select("hub", "chunk", F.col("member").alias("node"), "text")
+    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("node").asc_nulls_first())
     return written(rows.mapInArrow(_confirm, _FOUND), "confirmed")
 
 
@@ -185,68 +192,126 @@ def _spread(batches):
 GROUPS = 32
 #: Hubs of a bucket in the first round after the stars, and how many times more there are up to each next one.
 HUBS, STEP = 4, 8
+#: Hubs of a bucket that are compared in one task, with as many of its nodes.
+BLOCK = 2048
 
 
 def _bounds(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, most, groups) of ``nodes`` (node, part): what each shares with other parts at all, and that by hash group."""
+    """(node, n, most, groups) of ``nodes`` (node, part): its size, what it shares with other parts at all, and that by hash group."""
     rows = written(texts.join(_told(nodes.select("node")), "node", "left_semi").select("node", "text").mapInArrow(_spread, "node long, shingle long"), "open-sets")
-    seen = rows.join(_told(nodes), "node").groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle")
-    # Written first, so that a shingle of very many rows is split among tasks in the join below.
-    met = rows.join(written(seen, "met"), "shingle").withColumn("g", F.pmod("shingle", F.lit(GROUPS)))
+    seen = rows.join(_told(nodes), "node").groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle", F.lit(True).alias("met"))
+    # Written first, so that up to a counted number is broadcast and, beyond it, a shingle of very many rows is split among tasks.
+    met = rows.join(_told(written(seen, "met")), "shingle", "left").withColumn("g", F.when(F.col("met"), F.pmod("shingle", F.lit(GROUPS))))
     groups = [F.count_if(F.col("g") == k).cast("int").alias(f"g{k}") for k in range(GROUPS)]
-    counted = met.groupBy("node").agg(F.count("*").alias("most"), *groups)
-    return counted.select("node", "most", F.array(*[f"g{k}" for k in range(GROUPS)]).alias("groups"))
-
-
-def _allowed(a: str, b: str) -> Column:
-    """Whether sizes and shared shingles of two nodes allow the similarity: sets of n and m have 75 / 175 * (n + m) shingles in common at least."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = (n + m) * PERCENT
-    meet = F.aggregate(F.zip_with(f"{a}.groups", f"{b}.groups", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, v: acc + v)
-    sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (F.least(f"{a}.most", f"{b}.most") * (100 + PERCENT) >= least)
-    return sizes & (meet * (100 + PERCENT) >= least)
-
-
-def further_links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` with those between nodes of one bucket that its first star has missed."""
+    counted = met.groupBy("node").agg(F.count("*").alias("n"), F.count("g").alias("most"), *groups)
+    return counted.select("node", "n", "most", F.array(*[f"g{k}" for k in range(GROUPS)]).alias("groups"))
+
+
+_PAIRS = "hub long, chunk long, node long"
+
+
+def _meet(low: float, high: float):
+    """Rows in order of bucket, h and m: the pairs whose hub has its turn from ``low`` to ``high``, as ``confirm`` takes them."""
+
+    def of(rows: pa.RecordBatch, key: tuple[int, int, int], out: list[tuple]) -> None:
+        part = rows.column(5).to_numpy()
+        if (part == part[0]).all():
+            return
+        role, node, turn, n, most = (rows.column(k).to_numpy() for k in (3, 4, 6, 7, 8))
+        groups = rows.column(9).flatten().to_numpy().reshape(-1, GROUPS)
+        opens: dict[int, set[int]] = {}
+
+        def shares(k: int) -> set[int]:
+            return opens[k] if k in opens else opens.setdefault(k, set(rows.column(10)[k].as_py()))
+
+        for x in np.flatnonzero((role != 1) & (turn >= low) & (turn < high)).tolist():
+            later = (turn > turn[x]) | ((turn == turn[x]) & (node > node[x]))
+            y = np.flatnonzero(later & (role != 0) & (part != part[x]))
+            # Sets of n and m have 75 / 175 * (n + m) shingles in common at least.
+            least = (n[y] + n[x]) * PERCENT
+            fits = (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * PERCENT) & (np.minimum(most[y], most[x]) * (100 + PERCENT) >= least)
+            y, least = y[fits], least[fits]
+            y = y[np.minimum(groups[y], groups[x]).sum(axis=1, dtype=np.int64) * (100 + PERCENT) >= least]
+            # Of the buckets that both are in, the first makes the pair.
+            nodes = [int(node[k]) for k in y.tolist() if min(shares(x) & shares(k)) == key[0]]
+            for k in range(0, len(nodes), CHUNK):
+                chunk = hash((*key, k))
+                out += [(int(node[x]), chunk, v) for v in (None, *nodes[k : k + CHUNK])]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["hub", "chunk", "node"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in pairwise([0, *cuts.tolist(), len(keys)] if len(keys) else []):
+                if held and key != tuple(keys[a].tolist()):
+                    of(held[0] if len(held) == 1 else pa.concat_batches(held), key, out)
+                    held = []
+                key = tuple(keys[a].tolist())
+                held.append(batch.slice(a, b - a))
+            yield made(out)
+        out = []
+        if held:
+            of(held[0] if len(held) == 1 else pa.concat_batches(held), key, out)
+        yield made(out)
+
+    return run
+
+
+def _blocks(live: DataFrame, low: int, high: int, large: bool) -> DataFrame:
+    """``live`` with the block of hubs ``h`` and of nodes ``m`` where each row is compared, and its role: 0 a hub, 1 a node, 2 both."""
+    zero, facts = F.lit(0).cast("long"), ["node", "part", "turn", "n", "most", "groups", "opens"]
+    whole = live.select("bucket", zero.alias("h"), zero.alias("m"), F.lit(2).alias("role"), *facts)
+    if not large:
+        return whole
+    # Only a bucket of more than BLOCK nodes is several blocks: each hub goes to all blocks of nodes and each node to all blocks of hubs.
+    wide = live.filter(F.col("size") > BLOCK).withColumn("hs", F.ceil(F.least("size", F.lit(high - low)) / BLOCK)).withColumn("ms", F.ceil(F.col("size") / BLOCK))
+    each = lambda count: F.explode(F.sequence(zero, F.col(count) - 1))
+    own = lambda count: F.pmod(F.xxhash64("bucket", "node"), F.col(count))
+    hubs = wide.filter(F.col("turn") < high).select("bucket", own("hs").alias("h"), each("ms").alias("m"), F.lit(0).alias("role"), *facts)
+    members = wide.select("bucket", each("hs").alias("h"), own("ms").alias("m"), F.lit(1).alias("role"), *facts)
+    few = live.filter(F.col("size") <= BLOCK).select("bucket", zero.alias("h"), zero.alias("m"), F.lit(2).alias("role"), *facts)
+    return few.unionByName(hubs).unionByName(members)
+
+
+def further_components(shared: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) by ``links`` and by those between nodes of one bucket that its first star has missed."""
 
     def placed(entries: DataFrame, parts: DataFrame) -> DataFrame:
         return entries.join(_told(parts), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
 
-    def still_open(entries: DataFrame) -> DataFrame:
-        sides = entries.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("size").alias("size"))
-        return written(sides.filter("a <> b").select("bucket", "size"), "live")
-
     parts = components(links)
     first = written(placed(shared.filter("size > 2").select("bucket", "node", "size"), parts), "placed")
-    entries = written(first.join(_told(still_open(first).select("bucket")), "bucket", "left_semi").drop("part"), "open")
+    live = written(first.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket"), "live")
+    entries = written(first.join(_told(live), "bucket", "left_semi").drop("part"), "open")
     if entries.isEmpty():
-        return links
-    known = written(placed(entries.select("node").distinct(), parts), "open-nodes")
+        return parts
+    known = written(placed(entries.groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("opens")), parts), "open-nodes")
     # Over a third of a set that fits no other part's is a set that is similar to none.
-    bounds = _bounds(texts, known).join(nodes.select("node", "n"), "node").filter(F.col("most") * 100 >= F.col("n") * PERCENT)
-    opens = entries.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("opens"))
+    bounds = _bounds(texts, known.select("node", "part")).filter(F.col("most") * 100 >= F.col("n") * PERCENT)
+    facts = written(bounds.join(known.select("node", "opens"), "node"), "open-facts")
     # When a node's turn as hub of a bucket comes: its place in a random order, about.
     turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
-    entries = written(entries.join(bounds, "node").join(opens, "node").withColumn("turn", turn), "entries")
-    texts = written(texts.join(_told(written(entries.select("node").distinct(), "open-nodes")), "node", "left_semi"), "open-texts")
+    each = facts.select("node", "n", "most", "groups", F.col("opens.bucket").alias("opens"), F.inline("opens").alias("bucket", "size"))
+    entries = written(each.withColumn("turn", turn), "entries")
+    texts = written(texts.join(_told(facts.select("node")), "node", "left_semi"), "open-texts")
+    top = entries.agg(F.max("size")).first()[0] or 0
     low, high = 0, HUBS
-    while True:
-        live = placed(entries, parts)
-        left = still_open(live)
-        if low >= (left.agg(F.max("size")).first()[0] or 0):
-            return links
-        # An entry is a hub in one round alone, so over all rounds the open buckets are joined with each entry once at most.
-        hubs = live.filter(F.col("turn").between(low, high) & (F.col("turn") < high)).join(_told(left.select("bucket")), "bucket", "left_semi")
-        later = (F.col("y.turn") > F.col("x.turn")) | ((F.col("y.turn") == F.col("x.turn")) & (F.col("y.node") > F.col("x.node")))
-        once = F.array_min(F.array_intersect("x.opens", "y.opens")) == F.col("x.bucket")
-        met = hubs.alias("x").join(live.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & later & _allowed("x", "y") & once)
-        pairs = written(met.select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")), "rest")
+    while low < top:
+        # An entry whose turn is over has met all others of its bucket.
+        turns = placed(entries.filter((F.col("size") > low) & (F.col("turn") >= low)), parts)
+        blocks = _blocks(turns, low, high, top > BLOCK).repartition("bucket", "h", "m").sortWithinPartitions("bucket", "h", "m")
+        pairs = written(blocks.mapInArrow(_meet(low, high), _PAIRS), "rest")
         more = pairs if pairs.isEmpty() else written(_links(confirm(pairs, texts)), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = components(links)
         low, high = high, high * STEP
+    return parts
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -266,21 +331,30 @@ def _row_key(key: Column, text: Column) -> Column:
 def _named(signed: DataFrame) -> DataFrame:
     """``signed`` with the name of each row's set, ``node``: the first half of its digest, or, where two sets share that, a hash of both halves."""
     clash = written(signed.filter("n > 0").groupBy("high").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a <> b").select(F.col("high").alias("of")), "clash")
-    if clash.isEmpty():
-        return signed.withColumn("node", F.col("high"))
     found = signed.join(clash, F.col("high") == F.col("of"), "left")
     return written(found.withColumn("node", F.when(F.col("of").isNull(), F.col("high")).otherwise(F.xxhash64("low", "high"))).drop("of"), "signatures")
 
 
+def _nodes(signed: DataFrame) -> DataFrame:
+    """The leading row of each node, the number of its rows, and whether they are of several sets."""
+    ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "at")).alias("x")
+    found = signed.filter("n > 0").groupBy("node").agg(ranked, F.count("*").alias("copies"), (F.min("low") < F.max("low")).alias("several"))
+    return written(found.select("node", "x.*", "copies", "several"), "nodes")
+
+
 def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(row, id, n, lead) of each row: its key and size, and the id and row key that lead its component, null without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
     with scratch(spark):
         base = docs.select(_row_key(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        signed = _named(written(base.mapInArrow(_sign, _SIGNED).withColumn("at", F.monotonically_increasing_id()), "signatures"))
-        ranked = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row", "n", "high", "low", "at")).alias("x")
-        nodes = written(signed.filter("n > 0").groupBy("node").agg(ranked, F.count("*").alias("copies")).select("node", "x.*", "copies"), "nodes")
+        signed = written(base.mapInArrow(_sign, _SIGNED).withColumn("at", F.monotonically_increasing_id()), "signatures")
+        nodes = _nodes(signed.withColumn("node", F.col("high")))
+        if nodes.agg(F.bool_or("several")).first()[0]:
+            signed = _named(signed)
+            nodes = _nodes(signed)
+        else:
+            signed = signed.withColumn("node", F.col("high"))
         # Equal sets have equal bands: those of the leading row are taken where they lie, so that bands are not shuffled.
         copied = written(nodes.filter("copies > 1").select("node", F.col("at").alias("first")), "copied")
         leading = signed.filter("n > 0").join(_told(copied), "node", "left").filter("first IS NULL OR first = at")
@@ -291,9 +365,9 @@ def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
         stars = written(shared.filter("node <> hub").select("hub", "node").distinct(), "stars")
         involved = stars.select("hub").union(stars.select("node")).distinct().withColumnRenamed("hub", "node").join(nodes.select("node", "row", "high", "low"), "node")
         texts = _texts(base.select("row", "text"), involved)
-        links = written(_links(confirm(stars, texts)), "links")
-        parts = components(further_links(shared, nodes, texts, links))
-        root = nodes.select("node", F.struct("no", "id", "row").alias("own")).join(parts, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+        links = written(_links(confirm(_dealt(stars), texts)), "links")
+        parts = further_components(shared, texts, links)
+        root = nodes.select("node", F.struct("no", "id", "row").alias("own")).join(_told(parts), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
         led = root.groupBy("root").agg(F.min("own").alias("lead"))
         of = root.join(led, "root").select("node", "lead")
         return written(signed.select("row", "id", "n", "node").join(of, "node", "left").select("row", "id", "n", "lead"), "judged", keep=True)
